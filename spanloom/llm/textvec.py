@@ -13,6 +13,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; the numpy temporaries are a few dozen times as large.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 4096
 _POW_LEN = 1 << 12
 _MULT = 0x9E3779B97F4A7C15 | 1
 
@@ -34,7 +35,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of runs of whole texts of about most_bytes; one longer text is a run alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -48,17 +49,21 @@ def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = SLICE_BYTES) ->
     i = 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most_bytes, side="right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + most_rows, max(i + 1, j))
         yield i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: For words without punctuation: every ASCII character but letters and digits separates.
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the index of its first word (one entry more than texts)."""
     if not len(data):
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     cuts = offsets[:-1]
