@@ -18,3 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder; what comes after doesn't run df's plan again."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """The rows of df, written as Parquet below the shared checkpoint folder and read again."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
