@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, licenses, neardup, packing, quality, toxicity, url_filter
+from . import bpe, chat, fingerprint, licenses, neardup, packing, quality, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.page_outcomes(pages))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_license_scan": op3_license_scan,
         "op4_url_reputation": op4_url_reputation,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_near_dedup": op6_near_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_toxicity": op8_toxicity,
