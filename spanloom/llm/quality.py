@@ -115,6 +115,11 @@ def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
 
 
 def keep(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
+    """The rows of docs that are kept, with the columns of docs.
+
+    The filter stands above a column that isn't deterministic: pushed below the projections it would evaluate each step once for every
+    element of the steps built on it.
+    """
     own = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row"))
-    return judge(own, "text", thresholds).where("kept").select("own_row.*")
+    judged = judge(own, "text", thresholds).select("own_row", "kept", F.spark_partition_id().alias("part"))
+    return judged.where("kept AND part >= 0").select("own_row.*")
