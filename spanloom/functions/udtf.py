@@ -1,0 +1,23 @@
+"""detect_spans(text) for SQL users."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession, config=None, name: str = "span_array") -> None:
+    """Registers a SQL function of a text that gives its resolved spans, an array to be opened by LATERAL VIEW explode or inline.
+
+    It is a SQL function over the native expression, so it is planned with the query and runs in the JVM.
+    """
+    from pyspark.sql import functions as F
+
+    from spanloom.model import SPANS
+    from spanloom.operators.merge import merge
+    from spanloom.plans.pipeline import Config, candidates
+
+    expression = merge(candidates(F.col("text"), config or Config()))
+    sql = expression._jc.expr().sql() if hasattr(expression, "_jc") and hasattr(expression._jc, "expr") else None
+    if sql is None:
+        raise RuntimeError("needs a classic session")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS {SPANS} RETURN {sql}")
