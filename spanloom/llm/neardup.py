@@ -5,9 +5,9 @@ or more; classes are the connected components of links, and a class is named by
 first, by the MD5 of the text, and only distinct contents are compared.
 
 Contents that share a band fall into a bucket. A bucket is not expanded into pairs: in each round its members outside the leader's class
-are compared with one leader, first the member with the most company over all buckets, then members drawn by a hash. What is still in
-different classes afterwards is compared pair by pair, each pair once, if the signatures leave a likeness of THRESHOLD possible
-(SLACK below it, over 4.5 standard deviations). With 32 bands of 4 rows a pair of likeness 0.8 misses all bands with probability 5e-8.
+are compared with one leader, the member with the most company over all buckets (in further rounds, if asked for, one drawn by a hash). What is still in
+different classes afterwards is compared pair by pair, each pair once, if their sizes and a longer sketch of each leave a
+likeness of THRESHOLD possible (SIGMAS standard deviations below it). With 32 bands of 4 rows a pair of likeness 0.8 misses all bands with probability 5e-8.
 
 Null texts count as empty. A text without words is linked to its exact copies only; one of one to four words is one shingle. Repeated
 rows are copies of each other. Rows with a null doc_id keep a null doc_id and are named by the least other doc_id of their class, if any.
@@ -29,8 +29,10 @@ WIDTH = 5
 COORDINATES = 128
 ROWS_PER_BAND = 4
 THRESHOLD = 0.8
-SLACK = 0.16
-LEADER_ROUNDS = 3
+SIGMAS = 4.0
+#: Coordinates and bits of the sketches that decide which pairs are worth an exact look.
+SKETCH, SKETCH_BITS = 1024, 2
+LEADER_ROUNDS = 1
 #: Contents up to which their texts are found by a broadcast of keys (24 bytes each); beyond it by a shuffle.
 BROADCAST_KEYS = 500_000
 _GOLD = np.uint64(textvec._MULT)
@@ -94,12 +96,13 @@ def darts(own: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int,
 
 
 def signature_column(column: pa.Array, k: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x k int32 signature, whether a text has words)."""
-    out, has = np.zeros((len(column), k), np.int32), np.zeros(len(column), bool)
+    """(texts x k int32 signature, number of shingles of each text)."""
+    out, total = np.zeros((len(column), k), np.int32), np.zeros(len(column))
     for at, rows, own, values in textvec.text_shingles(column, WIDTH):
-        sig, has[at : at + rows] = darts(*_floats(weighted_shingles(own, values)), rows, k)
+        sig, _ = darts(*_floats(weighted_shingles(own, values)), rows, k)
         out[at : at + rows] = sig.astype(np.uint32).view(np.int32)
-    return out, has
+        total[at : at + rows] = np.bincount(own, minlength=rows)
+    return out, total
 
 
 def _floats(shingled: tuple) -> tuple:
@@ -128,23 +131,24 @@ def content_key(text: Column) -> Column:
 
 
 def contents(docs: DataFrame, k: int = COORDINATES) -> DataFrame:
-    """key, rep (least doc_id), signature of each distinct text that has words."""
+    """key, rep (least doc_id), weight (number of shingles), signature of each distinct text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, has = signature_column(batch.column(2), k)
+            sig, total = signature_column(batch.column(2), k)
+            has = total > 0
             keep = pa.array(np.flatnonzero(has))
+            weight = pa.array(total[has])
             lists = pa.FixedSizeListArray.from_arrays(pa.array(sig[has].reshape(-1)), k).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), lists], names=["key", "doc_id", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), weight, lists], names=["key", "doc_id", "weight", "signature"])
 
     rows = docs.select(content_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key binary, doc_id long, signature array<int>").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"))
+    return rows.mapInArrow(run, "key binary, doc_id long, weight double, signature array<int>").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.max("signature").alias("signature"))
 
 
 def bands(rows: DataFrame, per_band: int = ROWS_PER_BAND, k: int = COORDINATES) -> DataFrame:
     """key, h: one row for each band of each content."""
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(k // per_band - 1)), lambda b: F.xxhash64(b, F.slice(F.col("signature"), b * per_band + 1, F.lit(per_band))))
-    return rows.select("key", F.explode(hashes).alias("h"))
+    return rows.select("key", F.explode(_band_hashes(per_band, k)).alias("h"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -208,18 +212,51 @@ def classes_of_contents(docs: DataFrame, threshold: float = THRESHOLD, per_band:
         labels = _joined(labels, _verified(apart, texts, threshold))
     members = buckets.join(labels, "key")
     mixed = members.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-    left = storage.table(members.join(mixed, "h").join(all_.select("key", "signature"), "key").select("h", "key", "label", "signature"))
+    left = storage.table(members.join(mixed, "h").select("h", "key", "label"))
+    own = storage.table(left.select("key").distinct())
+    known = all_.join(own, "key").select("key", "weight", _band_hashes(per_band, k).alias("hs")).join(_sketches(texts.join(own, "key")), "key")
+    left = left.join(storage.table(known), "key")
     x, y = (left.select(*(F.col(c).alias(f"{c}_{s}") for c in left.columns)) for s in "ab")
-    starts = F.sequence(F.lit(0), F.lit(k // per_band - 1))
-    cut = lambda side: F.transform(starts, lambda b: F.slice(F.col(f"signature_{side}"), b * per_band + 1, F.lit(per_band)))
-    first = F.element_at(cut("a"), F.array_position(F.zip_with(cut("a"), cut("b"), lambda p, q: p == q), F.lit(True)).cast("int"))
-    band = F.array_position(F.zip_with(cut("a"), cut("b"), lambda p, q: p == q), F.lit(True)).cast("int") - 1
-    agree = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda p, q: p == q), lambda same: same))
-    once = F.xxhash64(band, first) == F.col("h_a")  # only in the first band that the two share
-    rest = x.join(y, (F.col("h_a") == F.col("h_b")) & (F.col("label_a") < F.col("label_b")) & (agree >= int(k * (threshold - SLACK))) & once)
+    once = F.element_at("hs_a", F.array_position(F.zip_with("hs_a", "hs_b", lambda p, q: p == q), F.lit(True)).cast("int")) == F.col("h_a")  # in the first band that both share
+    rest = x.join(y, (F.col("h_a") == F.col("h_b")) & (F.col("label_a") < F.col("label_b")) & (F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")) & _may_be_alike(threshold) & once)
     return _joined(labels, _verified(rest.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")), texts, threshold))
 
 
+def _band_hashes(per_band: int, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(k // per_band - 1)), lambda b: F.xxhash64(b, F.slice(F.col("signature"), b * per_band + 1, F.lit(per_band))))
+
+
+def _sketches(texts: DataFrame, size: int = SKETCH, bits: int = SKETCH_BITS) -> DataFrame:
+    """key, s0, s1, ...: the low bits of each coordinate of a longer signature, 64 // bits coordinates to a number."""
+    each = 64 // bits
+    names = [f"s{j}" for j in range(size // each)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shifts = np.arange(each, dtype=np.uint64) * np.uint64(bits)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                low = signature_column(part.column(1), size)[0].view(np.uint32).astype(np.uint64) & np.uint64((1 << bits) - 1)
+                packed = np.bitwise_or.reduce(low.reshape(len(low), len(names), each) << shifts, axis=2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(packed[:, j]) for j in range(len(names)))], names=["key", *names])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, " + ", ".join(f"{n} long" for n in names))
+
+
+def _may_be_alike(threshold: float, k: int = SKETCH, bits: int = SKETCH_BITS) -> Column:
+    """Whether sketches agree as often as those of alike texts do, SIGMAS standard deviations less."""
+    each, differ = 64 // bits, F.lit(0)
+    ones = sum(1 << (bits * i) for i in range(each))
+    for j in range(k // each):
+        x = F.col(f"s{j}_a").bitwiseXOR(F.col(f"s{j}_b"))
+        any_bit = x
+        for shift in range(1, bits):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
+    agree = threshold + (1 - threshold) * 2.0**-bits
+    return differ <= int(np.ceil(k * (1 - agree) + SIGMAS * np.sqrt(k * agree * (1 - agree))))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, key of every row."""
     labels = classes_of_contents(docs, threshold)
