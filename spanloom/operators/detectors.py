@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,8 +101,6 @@ class ModelRecognizer:
     chunk: int | None = 1000
 
     def spans(self, text: Column, codes: list[str]) -> Column:
-        import pandas as pd
-
         load, threshold, chunk = self.load, self.threshold, self.chunk
         labels = {NER_LABELS.get(c, c.lower()): c for c in codes}
 

@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,8 @@ class Rule:
         spark = spark or SparkSession.active()
         try:
             spark._jvm.java.util.regex.Pattern.compile(self.java)
-        except Exception as error:
-            if "PatternSyntax" in str(error):
-                return False
-            raise
+        except IllegalArgumentException:
+            return False
         return True
 
 

@@ -43,7 +43,7 @@ def dialect_of(content: bytes) -> Dialect:
     text, encoding = decode(content)
     try:
         header = csv.Sniffer().has_header(text[:SAMPLE])
-    except csv.Error:
+    except (csv.Error, ValueError):  # the sniffer may guess a separator that its own reader refuses
         header = False
     return Dialect(delimiter_of(text[:SAMPLE]), encoding, header, "\r\n" if "\r\n" in text else "\n")
 
