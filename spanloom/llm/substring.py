@@ -35,7 +35,8 @@ from .neardup import content_key
 WINDOW = 20
 GRAM = 8
 DEPTHS = (5, 10, 20)
-GROUP = 2000
+#: Suffixes of one prefix up to which they are sorted together, some 3 MB.
+GROUP = 100_000
 #: Rows up to which document numbers (8 bytes) or ranges (24 bytes or less each) are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 500_000
 
