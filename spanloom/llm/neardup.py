@@ -271,8 +271,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = classes(docs, threshold)
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     chosen = storage.table(chosen.withColumnRenamed("doc_id", "own_id").select("own_id", F.col("key").alias("own_key"), "n"))
-    rows = docs.withColumn("__key", content_key(F.col("text")))
-    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["own_id"]) & (rows["__key"] == chosen["own_key"]), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["own_id"]) & (rows["key"] == chosen["own_key"]), "left_semi")
     if not chosen.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["doc_id", "key"])
+    return kept.select("row.*")

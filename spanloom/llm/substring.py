@@ -180,15 +180,14 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with doc, a number in the order of precedence: doc_id itself where it is unique and not null, else one for each doc_id and text; and
-    whether rows may repeat a number."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    if ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn("doc", F.col("doc_id").cast("long")), False
-    keys = docs.select(F.col("doc_id").cast("long").alias("own_id"), content_key(F.col("text")).alias("own_key")).distinct()
+    """docs (doc_id, text, row) with doc, a number in the order of precedence: doc_id itself where it is unique and not null, else one for each
+    doc_id and text; and whether rows may repeat a number."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("doc", F.col("doc_id")), False
+    keys = docs.select(F.col("doc_id").alias("own_id"), content_key(F.col("text")).alias("own_key")).distinct()
     numbers = storage.table(keys.orderBy("own_id", "own_key").withColumn("doc", F.monotonically_increasing_id()))
-    rows = docs.withColumn("__key", content_key(F.col("text")))
-    return rows.join(numbers, rows["doc_id"].cast("long").eqNullSafe(numbers["own_id"]) & (rows["__key"] == numbers["own_key"])).drop("__key", "own_id", "own_key"), True
+    rows = docs.withColumn("key", content_key(F.col("text")))
+    return rows.join(numbers, rows["doc_id"].eqNullSafe(numbers["own_id"]) & (rows["key"] == numbers["own_key"])).select("doc_id", "text", "row", "doc"), True
 
 
 def cut_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -197,14 +196,14 @@ def cut_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     A text without repeats stays as it is. Of others the kept runs of words stay as they were, joined by a new line; a text of repeats
     only becomes empty. The digest is of the kept words joined by a space.
     """
-    numbered, repeated = _numbered(docs)
-    pairs = numbered.select("doc", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    numbered, repeated = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    pairs = numbered.select("doc", "text")
     if repeated:
         pairs = pairs.dropDuplicates(["doc"])
     copies, ranges = repeated_ranges(pairs)
     size = ranges.agg(F.coalesce(F.sum(F.size("begins")), F.lit(0))).first()[0]
-    own = numbered.select("doc", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    own = own.join(_bounded(copies.withColumn("copy", F.lit(True)), copies.count()), "doc", "left").join(_bounded(ranges, size), "doc", "left")
+    own = numbered.join(_bounded(copies.withColumn("copy", F.lit(True)), copies.count()), "doc", "left").join(_bounded(ranges, size), "doc", "left")
     own = own.select("row", "text", "copy", "begins", "ends")
 
     def keep_mask(n: int, copy: bool | None, begins: list[int] | None, ends: list[int] | None) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Reputation is empirical Bayes: the bad share of a host's labelled pages is shrunk towards its registered domain, that towards its
 suffix and that towards all pages, each level by a beta prior whose strength comes from the spread between the members of that level
-(method of moments). A host is blocked if the lower bound of its posterior bad share, mean less Z standard deviations, is above LIMIT.
+(method of moments) and whose mean leaves out the member's own pages, so that no page counts twice. A host is blocked if the lower bound of its posterior bad share, mean less Z standard deviations, is above LIMIT.
 Explicit rules come first: a rule "host/path" fits its host and all subdomains if the url's path starts with its path; the longest wins.
 
 A null url, or one without "://", has an empty host and path; such urls share one empty host. A host without labelled pages gets the
@@ -81,17 +81,20 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = storage.cut(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     total = hosts.agg(F.sum("n"), F.sum("bad")).first()
     top = (total[1] + 0.5) / (total[0] + 1) if total[0] else 0.0
-    sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("mean", F.lit(top))
-    k = _strength(suffixes)
-    suffixes = suffixes.select("suffix", ((F.col("bad") + k * F.col("mean")) / (F.col("n") + k)).alias("mean"))
-    domains = storage.cut(hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix"))
-    k = _strength(domains)
-    domains = domains.select("domain", ((F.col("bad") + k * F.col("mean")) / (F.col("n") + k)).alias("mean"))
-    hosts = storage.cut(hosts.join(domains, "domain"))
+
+    def shrunk(n: str, bad: str, k: float, towards: str) -> Column:
+        return (F.expr(bad) + k * F.col(towards)) / (F.expr(n) + k)
+
+    suffixes = storage.cut(hosts.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sbad")).withColumn("top", F.lit(top)))
+    ks = _strength(suffixes.select(F.col("sn").alias("n"), F.col("sbad").alias("bad"), F.col("top").alias("mean")))
+    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad")).join(suffixes, "suffix")
+    domains = storage.cut(domains.select("domain", "dn", "dbad", shrunk("sn - dn", "sbad - dbad", ks, "top").alias("mean")))
+    kd = _strength(domains.select(F.col("dn").alias("n"), F.col("dbad").alias("bad"), "mean"))
+    hosts = hosts.join(domains, "domain")
+    hosts = storage.cut(hosts.select("host", "n", "bad", shrunk("dn - n", "dbad - bad", kd, "mean").alias("mean")))
     k = _strength(hosts)
-    mean = (F.col("bad") + k * F.col("mean")) / (F.col("n") + k)
-    return hosts.select("host", "n", mean.alias("mean")).withColumn("sd", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + k + 1)))
+    found = hosts.select("host", "n", shrunk("n", "bad", k, "mean").alias("mean"))
+    return found.withColumn("sd", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + k + 1)))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
@@ -122,10 +125,11 @@ hh AS (SELECT host, n, bad, array_to_string(l[-2:], '.') IN ({_SUFFIXES}) AS two
               CASE WHEN array_to_string(l[-2:], '.') IN ({_SUFFIXES}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
               CASE WHEN array_to_string(l[-2:], '.') IN ({_SUFFIXES}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hh) AS mean FROM hh GROUP BY suffix),
-s1 AS (SELECT suffix, (bad + k * mean) / (n + k) AS mean FROM (SELECT *, {_level('s0')} AS k FROM s0)),
-d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(s1.mean) AS mean FROM hh JOIN s1 USING (suffix) GROUP BY suffix, domain),
-d1 AS (SELECT domain, (bad + k * mean) / (n + k) AS mean FROM (SELECT *, {_level('d0')} AS k FROM d0)),
-h0 AS (SELECT host, n, bad, d1.mean FROM hh JOIN d1 USING (domain)),
+s1 AS (SELECT suffix, n AS sn, bad AS sbad, mean AS top, {_level('s0')} AS ks FROM s0),
+d0 AS (SELECT domain, dn AS n, dbad AS bad, (sbad - dbad + ks * top) / (sn - dn + ks) AS mean
+       FROM (SELECT suffix, domain, sum(n) AS dn, sum(bad) AS dbad FROM hh GROUP BY suffix, domain) JOIN s1 USING (suffix)),
+d1 AS (SELECT domain, n AS dn, bad AS dbad, mean AS dmean, {_level('d0')} AS kd FROM d0),
+h0 AS (SELECT host, n, bad, (dbad - bad + kd * dmean) / (dn - n + kd) AS mean FROM hh JOIN d1 USING (domain)),
 h1 AS (SELECT host, n + k AS w, (bad + k * mean) / (n + k) AS mean FROM (SELECT *, {_level('h0')} AS k FROM h0)),
 b AS (SELECT host FROM h1 WHERE mean - {Z} * sqrt(mean * (1 - mean) / (w + 1)) > {LIMIT}),
 r AS (SELECT page_id, p.host, path, b.host IS NOT NULL AS bad,
