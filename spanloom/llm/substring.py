@@ -167,7 +167,8 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = anchor_rows(own)
     shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     ats = storage.table(found.join(shared, "h").groupBy("doc").agg(F.collect_list("at").alias("ats")))
-    suffixes = storage.table(suffix_rows(own.join(_bounded(ats, ats.count()), "doc")))
+    some = own.join(_bounded(ats.select("doc"), ats.count()), "doc", "left_semi")  # the lists aren't bounded by their number
+    suffixes = storage.table(suffix_rows(some.join(ats.hint("merge"), "doc")))
     often = suffixes.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("a")
     often = storage.table(often)
     hot = storage.table(suffixes.join(often, "a").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("a", "b"))
