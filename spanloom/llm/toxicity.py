@@ -184,19 +184,36 @@ def regress(own: np.ndarray, word: np.ndarray, target: np.ndarray, weight: np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """The classifier from a bounded sample of labelled rows; it holds no more words than the sample."""
-    texts, y, weight = labelled_sample(docs, labels, most)
+    model = _fitted(*labelled_sample(docs, labels, most))
+    _release()
+    return model
+
+
+def _fitted(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(np.average(y, weights=weight)) if len(y) else 0.0
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     column = pa.array(texts, pa.large_string())
+    texts.clear()
     own, word = map(np.concatenate, zip(*((at + o, w) for at, _, o, w in words(column)), strict=True))
-    toxic, clean = mine(own, word, y)
     word_stem = _stems(column)
+    del column
+    toxic, clean = mine(own, word, y)
     stems, _ = mine(own, word_stem, y)
     v = votes(own, word, len(y), toxic, clean, stems, word_stem)
+    del word_stem
     prior = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
-    posterior = label_model(v, prior, weight)
-    return regress(own, word, posterior, weight)
+    return regress(own, word, label_model(v, prior, weight), weight)
+
+
+def _release() -> None:
+    """Gives freed memory of the fit back to the system: the driver's stays small for what follows."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _stems(column: pa.Array, length: int = STEM) -> np.ndarray:
