@@ -190,7 +190,7 @@ _flag("v5_postal_dept", "postal", "substr(text, 4, 5)", V.postal_code_plausible,
 
 @query("f1_normalize", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 200))), '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, replace(text, 'ß', 'ß') AS text FROM documents)")
 def f1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", V.normalize(F.substring("text", 1, 200)).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.normalize(F.col("text")).alias("norm"))
 
 
 @query("f2_looks_structured", r"SELECT o_orderkey, NOT regexp_matches(o_orderpriority, '\p{L}') AS a, NOT regexp_matches(CAST(o_orderkey AS VARCHAR), '\p{L}') AS b FROM orders")
