@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,28 +58,50 @@ def confirmed_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["confirmed"])
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array of lengths, by doubling: n log n steps, where one append for each would copy n squared."""
+    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(shifts, lengths, lambda acc, shift: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - shift), F.lit(0))))
+
+
+def _first_not(spans: Column, before: Callable[[Column], Column]) -> Column:
+    """How many spans lead the array for which before holds, by halving; it must hold for none after them."""
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        more = (acc["low"] < acc["high"]) & before(F.get(spans, middle))
+        low, high = F.when(more, middle + 1).otherwise(acc["low"]), F.when(more, acc["high"]).otherwise(middle)
+        return F.struct(low.alias("low"), F.greatest(low, high).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), step, lambda acc: acc["low"])
+
+
 def mask_runs(runs: Column, spans: Column, referential: Referential) -> Column:
     """Texts of formatted runs with spans over their concatenation masked: the tag stands in the first run a span touches, the rest of
     the span goes from the runs after it. spans must not overlap and be in order of place."""
     tags = referential.tag_for
 
-    def masked(run: Column, a: Column, b: Column) -> Column:
-        mine = F.filter(spans, lambda s: (s["start"] < b) & (s["end"] > a) & (s["end"] > s["start"]))
+    def masked(run: Column, a: Column, b: Column, full: Column) -> Column:
+        low, high = _first_not(full, lambda s: s["end"] <= a), _first_not(full, lambda s: s["start"] < b)
+
+        def cut(mine: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                pos = F.coalesce(F.get(mine, i - 1)["end"], a)
+                gap = F.substring(run, pos - a + 1, F.greatest(s["start"] - pos, F.lit(0)))
+                return F.concat(gap, F.when(s["start"] >= a, tags(s["type"])).otherwise(F.lit("")))
 
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substring(run, acc["pos"] - a + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-            tag = F.when(s["start"] >= a, tags(s["type"])).otherwise(F.lit(""))
-            return F.struct(F.concat(acc["out"], gap, tag).alias("out"), F.least(s["end"], b).alias("pos"))
+            last = F.least(F.coalesce(F.get(mine, F.size(mine) - 1)["end"], a), b)
+            return F.when(F.size(mine) > 0, F.concat(F.array_join(F.transform(mine, piece), ""), F.substring(run, last - a + 1, F.length(run)))).otherwise(run)
 
-        start = F.struct(F.lit("").alias("out"), a.alias("pos"))
-        return F.aggregate(mine, start, step, lambda acc: F.concat(acc["out"], F.substring(run, acc["pos"] - a + 1, F.length(run))))
+        return F.get(F.transform(F.array(F.slice(full, low + 1, high - low)), cut), F.lit(0))
 
-    def walk(acc: Column, run: Column) -> Column:
-        end = acc["pos"] + F.length(run)
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], masked(run, acc["pos"], end)).alias("out"))
+    def all_runs(x: Column) -> Column:
+        return F.transform(x["runs"], lambda run, i: masked(run, F.coalesce(F.get(x["ends"], i - 1), F.lit(0)), F.get(x["ends"], i), x["spans"]))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(runs, start, walk, lambda acc: acc["out"])
+    lengths = F.transform(runs, lambda r: F.coalesce(F.length(r), F.lit(0)))
+    once = F.struct(runs.alias("runs"), _ends(lengths).alias("ends"), F.filter(spans, lambda s: s["end"] > s["start"]).alias("spans"))
+    return F.when(F.size(spans) > 0, F.get(F.transform(F.array(once), all_runs), F.lit(0))).otherwise(runs)
 
 
 def rects_of(words: Column, start: Column, end: Column) -> Column:

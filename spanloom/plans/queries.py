@@ -296,9 +296,8 @@ g AS (SELECT doc_id, a, b, any_value(text) AS text, string_agg(gap || tag, '' OR
          CASE WHEN start >= a THEN '[EMAIL]' ELSE '' END AS tag FROM h) GROUP BY doc_id, a, b)
 SELECT doc_id, string_agg(coalesce(head, '') || substr(text, coalesce(pos, a) + 1, b - coalesce(pos, a)), '|' ORDER BY a) AS runs FROM g GROUP BY doc_id""")
 def m7(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 4000).alias("text"))
-    cuts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(40))
-    rows = rows.withColumn("runs", F.transform(cuts, lambda a: F.substring(F.col("text"), a + 1, F.lit(40)))).withColumn("spans", detectors.deterministic(F.col("text"), "EMAIL"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0)).alias("runs"))
+    rows = rows.withColumn("spans", detectors.deterministic(F.col("text"), "EMAIL"))
     return rows.select("doc_id", F.array_join(merge.mask_runs(F.col("runs"), F.col("spans"), Referential()), "|").alias("runs"))
 
 

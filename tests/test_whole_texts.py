@@ -5,7 +5,10 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.model import SPANS, Referential
+from spanloom.operators import merge
 from spanloom.plans import queries as Q
 
 
@@ -30,3 +33,37 @@ def test_normalize_whole(spark, documents):
         bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
         assert got[i] == re.sub(r"\s+", " ", bare).strip(), i
     assert got[len(texts)] is None
+
+
+def plain_runs(runs, spans, tag):
+    """Character by character: the tag where a span starts, or nothing, else the character."""
+    out, at = [], 0
+    for run in runs:
+        got = ""
+        for c in run:
+            hit = next((s for s in spans if s[0] <= at < s[1]), None)
+            got += c if hit is None else tag if at == hit[0] else ""
+            at += 1
+        out.append(got)
+    return out
+
+
+def test_run_remap_whole(spark, documents):
+    at, texts = documents
+    got = {r.doc_id: r.runs for r in Q.QUERIES["m7_run_remap"](spark, at).collect()}
+    for i, text in texts.items():
+        spans = [m.span() for m in re.finditer(r"[\w.+-]+@[\w-]+\.[\w.-]*\w", text)]
+        assert (len(text) > 4001) == bool(spans)
+        assert got[i] == "|".join(plain_runs([text[a : a + 40] for a in range(0, len(text), 40)], spans, "[EMAIL]")), i
+
+
+def test_runs_of_any_length(spark):
+    r, rows = random.Random(6), []
+    for i in range(200):
+        runs = ["".join(r.choice("aé😀") for _ in range(r.choice([0, 0, 1, 3, 50]))) for _ in range(r.randrange(40))]
+        cuts = sorted({r.randrange(sum(map(len, runs)) + 1) for _ in range(2 * r.randrange(12))})
+        rows.append((i, runs, [("EMAIL", "x", a, b, "rule", 1.0, True, 0) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]))
+    df = spark.createDataFrame(rows, f"i int, runs array<string>, spans {SPANS}")
+    for row in df.select("i", merge.mask_runs(F.col("runs"), F.col("spans"), Referential()).alias("m")).collect():
+        _, runs, spans = rows[row.i]
+        assert row.m == plain_runs(runs, [s[2:4] for s in spans], "[EMAIL]"), row.i
