@@ -257,19 +257,24 @@ def _may_be_alike(threshold: float, k: int = SKETCH, bits: int = SKETCH_BITS) ->
     return differ <= int(np.ceil(k * (1 - agree) + SIGMAS * np.sqrt(k * agree * (1 - agree))))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size, key of every row."""
+def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
+    """label, doc_id, key, class_id, class_size of every row; equal labels are one class, also where class_id is null or that of another."""
     labels = classes_of_contents(docs, threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("key"))
     named = storage.table(rows.join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label")))
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(sizes, "label").select("doc_id", "class_id", "class_size", "key")
+    return named.join(sizes, "label")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), class_size, key of every row."""
+    return _labelled(docs, threshold).select("doc_id", "class_id", "class_size", "key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of its least doc_id; the columns of docs. A class whose doc_ids are all null keeps one row."""
-    found = classes(docs, threshold)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    found = _labelled(docs, threshold)
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     chosen = storage.table(chosen.withColumnRenamed("doc_id", "own_id").select("own_id", F.col("key").alias("own_key"), "n"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["own_id"]) & (rows["key"] == chosen["own_key"]), "left_semi")

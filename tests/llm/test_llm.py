@@ -335,6 +335,17 @@ def test_near_duplicates_odd(spark, odd, odd_rows, empty):
     assert neardup.classes(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_each_class(spark):
+    """Classes without doc_id, and unlike texts that share one, each keep a row of their own."""
+    r = random.Random(14)
+    a, b, c, d, e = (words(r, 60, 5000) for _ in range(5))
+    near = a.replace(a.split()[30], "changed", 1)
+    rows = [(None, a), (None, a), (None, near), (None, b), (1, c), (1, d), (1, d), (2, c), (None, d), (3, e), (3, e + " more"), (None, None), (4, "")]
+    kept = [tuple(x) for x in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(kept) == 6 and sum(x in ((None, a), (None, near)) for x in kept) == 1 and sum(x in ((3, e), (3, e + " more")) for x in kept) == 1
+    assert {(None, b), (1, c), (1, d), (4, "")} <= set(kept)
+
+
 def test_dart_signatures_estimate_weighted_likeness():
     r = np.random.default_rng(3)
     elements = textvec.mix64(np.arange(300, dtype=np.uint64))
