@@ -6,7 +6,9 @@ nodes in it, so replaced runs go back to the nodes they came from.
 
 from __future__ import annotations
 
+import copy
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -20,6 +22,8 @@ from spanloom.sources.text_files import CorruptDocument
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+RELS = "xl/_rels/workbook.xml.rels"
 SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 #: Metadata fields that are blanked, by part and local name, with their labels.
 METADATA = {
@@ -68,33 +72,59 @@ def _pptx(names: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _xlsx_cells(trees: dict[str, ET.Element]) -> Iterator[tuple[str, list[ET.Element]]]:
-    """String cells of all sheets: shared strings once for the cells that use them, inline strings in place; formulas aren't strings."""
+def _sheets(trees: dict[str, ET.Element], rels: ET.Element | None) -> list[tuple[str, str]]:
+    """(part, title) of the worksheets in the workbook's order; parts that it doesn't name come last, under their number."""
+    at = {r.get("Id"): r.get("Target", "") for r in rels} if rels is not None else {}
+    out = []
+    for e in trees["xl/workbook.xml"].iter(f"{S}sheet"):
+        target = at.get(e.get(RELATION), "")
+        part = target[1:] if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+        if part in trees and part.startswith("xl/worksheets/"):
+            out.append((part, e.get("name", "")))
+    named = {part for part, _ in out}
+    return out + [(n, f"Feuille {_number(n)}") for n in sorted((n for n in trees if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=_number) if n not in named]
+
+
+def _xlsx_cells(trees: dict[str, ET.Element], rels: ET.Element | None, own: bool) -> Iterator[tuple[str, list[ET.Element]]]:
+    """Every string cell of all sheets, at title!coordinate; formulas aren't strings. Cells that use one shared string share its nodes, or
+    with own each gets a copy of it, so that they can be written apart."""
     shared = trees.get("xl/sharedStrings.xml")
     items = list(shared.iter(f"{S}si")) if shared is not None else []
     seen: set[int] = set()
-    for name in sorted((n for n in trees if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number):
+    count = len(items)
+    for name, title in _sheets(trees, rels):
         for c in trees[name].iter(f"{S}c"):
             if c.find(f"{S}f") is not None:
                 continue
-            place = f"Feuille {_number(name)} / {c.get('r')}"
-            if c.get("t") == "s" and (v := c.find(f"{S}v")) is not None and int(v.text) not in seen:
-                seen.add(int(v.text))
-                yield place, [t for t in items[int(v.text)].iter(f"{S}t")]
+            place, v = f"{title}!{c.get('r')}", c.find(f"{S}v")
+            if c.get("t") == "s" and v is not None:
+                item = items[int(v.text)]
+                if own and int(v.text) in seen:
+                    item = copy.deepcopy(item)
+                    shared.append(item)
+                    v.text = str(count)
+                    count += 1
+                    shared.set("uniqueCount", str(count))
+                else:
+                    seen.add(int(v.text))
+                yield place, list(item.iter(f"{S}t"))
             elif c.get("t") == "inlineStr":
                 yield place, list(c.iter(f"{S}t"))
+            elif c.get("t") == "str" and v is not None:
+                yield place, [v]
 
 
-def _units(content: bytes) -> tuple[dict[str, ET.Element], list[tuple[str, list[ET.Element]]]]:
+def _units(content: bytes, own: bool = False) -> tuple[dict[str, ET.Element], list[tuple[str, list[ET.Element]]]]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = z.namelist()
             trees = {n: ET.fromstring(z.read(n)) for n in names if n.endswith(".xml")}
+            rels = ET.fromstring(z.read(RELS)) if RELS in names else None
     except (zipfile.BadZipFile, ET.ParseError) as error:
         raise CorruptDocument(str(error)) from error
     units: list[tuple[str, list[ET.Element]]] = []
     if "xl/workbook.xml" in trees:
-        units += _xlsx_cells(trees)
+        units += _xlsx_cells(trees, rels, own)
     for parts, p, t in ((_docx(names), f"{W}p", f"{W}t"), (_pptx(names), f"{A}p", f"{A}t")):
         for n, label in parts:
             units += [(label, nodes) for nodes in _paragraphs(trees[n], p, t)]
@@ -108,7 +138,7 @@ def units_of(content: bytes) -> list[tuple[str, list[str]]]:
 
 def rewritten(content: bytes, runs: dict[int, list[str]]) -> tuple[bytes, list[tuple[str, str]]]:
     """The package with the runs of some units replaced and its metadata blanked; (label, old value) of what was blanked."""
-    trees, units = _units(content)
+    trees, units = _units(content, own=True)
     for i, texts in runs.items():
         for node, text in zip(units[i][1], texts, strict=True):
             node.text = text

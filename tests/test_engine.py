@@ -161,6 +161,28 @@ def test_office(spark, tmp_path):
         office.units_of(b"no zip")
 
 
+def test_workbook_cells(spark, tmp_path):
+    """Every string cell is a unit with its sheet's title and place, also where cells share a string; each is written back by itself."""
+    x, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda at, k: f'<c r="{at}" t="s"><v>{k}</v></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {x} xmlns:r="{r}"><sheets><sheet name="Tiers" sheetId="2" r:id="b"/><sheet name="Balance" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {x} count="4" uniqueCount="2"><si><t>a@b.fr</t></si><si><r><t>de </t></r><r><t>c@d.fr</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {x}><sheetData><row r="1">{cell("A1", 0)}{cell("B1", 1)}<c r="C1"><v>7</v></c></row><row r="2">{cell("A2", 0)}<c r="B2" t="str"><f>A1</f><v>a@b.fr</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {x}><sheetData><row r="3">{cell("D3", 0)}<c r="E3" t="inlineStr"><is><t>e@f.fr</t></is></c></row></sheetData></worksheet>')
+    (tmp_path / "a.xlsx").write_bytes(out.getvalue())
+    units = office.read_units(spark, str(tmp_path / "a.xlsx"))
+    want = [("Tiers!D3", "a@b.fr"), ("Tiers!E3", "e@f.fr"), ("Balance!A1", "a@b.fr"), ("Balance!B1", "de c@d.fr"), ("Balance!A2", "a@b.fr")]
+    assert [(u.location, u.text) for u in units.orderBy("unit_id").collect()] == want
+    masked = detect(units).withColumn("runs", merge.mask_runs(F.col("runs"), F.col("spans"), Referential()))
+    done = bytes(office.masked_packages(spark, str(tmp_path / "a.xlsx"), masked).first().content)
+    assert office.units_of(done) == [("Tiers!D3", ["[EMAIL]"]), ("Tiers!E3", ["[EMAIL]"]), ("Balance!A1", ["[EMAIL]"]), ("Balance!B1", ["de ", "[EMAIL]"]), ("Balance!A2", ["[EMAIL]"])]
+    one, _ = office.rewritten(out.getvalue(), {0: ["[EMAIL]"], 4: ["kept"]})
+    assert [t for _, (t, *_) in office.units_of(one)] == ["[EMAIL]", "e@f.fr", "a@b.fr", "de ", "kept"]
+
+
 def test_manual_rects(spark):
     rect = F.struct(F.lit(1.0).alias("x0"))
     spans = spark.range(1).select(F.lit(0).alias("page"), F.lit("EMAIL").alias("type"), F.lit("a").alias("value"), F.array(rect).alias("rects"), F.lit(False).alias("retained"))
