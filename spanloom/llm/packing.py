@@ -4,9 +4,13 @@ A document's ids, with the end id, are cut into full windows while they last; th
 shards by a hash, and each shard packs its pieces, longest first, into the open window with the least room that still fits.
 A segment tree over the capacities 0..window finds that window in log2(window) steps. Only the pieces' metadata are shuffled.
 
-Null texts are empty texts: one piece holding the end id. Repeated rows are packed as often as they occur; ties in length are
-broken by doc_id, start and checksum, so that a lost task packs the same windows again. An empty table gives an empty result. A
-shard holds at most BLOCK pieces in memory and then starts over with new windows.
+The pieces are written once and counted; there is a shard for each SHARD of them, whatever the number of partitions, so that the few
+open windows that a shard ends with are lost among thousands of full ones. Pieces are dealt in turn, so copies of one row spread evenly.
+
+Null texts are empty texts: one piece holding the end id. Texts of any length are cut into full windows. Repeated rows are packed as often
+as they occur; ties in length are broken by doc_id, start and checksum, so that a lost task packs the same windows again. An empty table
+gives an empty result. Only doc_id and text are read, so other columns can't clash. A shard of a caller's own choice that has over
+`block` pieces starts over with new windows after so many, which bounds its memory.
 """
 
 from __future__ import annotations
@@ -21,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .bpe import ColumnEncoder
 
 WINDOW = 2048
 END_ID = 1
+#: Pieces of a shard, and most pieces that a task holds at once.
+SHARD = 20_000
 BLOCK = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -148,9 +155,10 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
-def pack(rows: DataFrame, window: int = WINDOW, shards: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, window: int = WINDOW, shards: int | None = None, block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to rows of pieces()."""
-    n = shards or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = storage.table(rows)
+    n = shards or max(1, -(-rows.count() // SHARD))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -171,18 +179,17 @@ def pack(rows: DataFrame, window: int = WINDOW, shards: int | None = None) -> Da
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= BLOCK:
+            if count >= block:
                 yield from flush()
         yield from flush()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    key = F.xxhash64("doc_id", "start", "length", "ids_crc32")
-    return rows.repartition(n, key).mapInArrow(place, schema)
+    return rows.repartition(n).mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, shards: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, shards: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pieces of all documents with the sequence each lies in. docs needs doc_id and text; other columns are not read."""
-    return pack(pieces(docs, tokenizer, window, end_id, with_ids), window, shards)
+    return pack(pieces(docs, tokenizer, window, end_id, with_ids), window, shards, block)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
