@@ -79,8 +79,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return prefix_hashes(data, starts, ends)[0]
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Hashes of the words and, for each size, of the first so many bytes of each word, of all of it if it has fewer."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in range(1 + len(sizes))]
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
@@ -89,7 +94,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if far.any():
         code = np.where(far, mix64(code + place.astype(np.uint64)), code)
     code *= _POW[place & (_POW_LEN - 1)]
-    return mix64(np.add.reduceat(code, first) + lengths.astype(np.uint64))
+    out = [mix64(np.add.reduceat(code, first) + lengths.astype(np.uint64))]
+    if sizes:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code)])  # modulo 2**64, as the hash itself
+        for size in sizes:
+            short = np.minimum(lengths, size)
+            out.append(mix64(sums[first + short] - sums[first] + short.astype(np.uint64)))
+    return out
 
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:
