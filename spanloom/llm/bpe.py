@@ -6,7 +6,9 @@ Texts are cut into pre-tokens by the usual pattern, vectorised over code points.
 2. a miss runs the merges with a heap of ranked pairs over a doubly linked list of its bytes, O(n log n).
 
 Resolved pre-tokens are remembered by a 64-bit hash in a table of bounded size, so that each distinct one is resolved once
-in a while, not at each place. Null texts encode as empty texts; empty texts have no ids.
+in a while, not at each place. A second, independent hash is compared at each place; where it differs, the pre-tokens of that slice are
+resolved one by one. Null texts encode as empty texts; empty texts have no ids. Texts of any length are encoded whole. Rows stay as they
+are, repeated ones too. An empty table gives an empty result; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ def _point_hash() -> np.ndarray:
 
 
 _PLACE_HASH = mix64(np.arange(1, 1025, dtype=np.uint64) * np.uint64(2)) | np.uint64(1)
+_PLACE_CHECK = mix64(np.arange(5001, 6025, dtype=np.uint64) * np.uint64(6)) | np.uint64(1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -224,6 +227,7 @@ class ColumnEncoder:
         self.at = np.zeros(0, np.int64)  # where the ids of a known pre-token start
         self.count = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
+        self.check = np.zeros(0, np.uint64)  # second hash of each known pre-token
 
     def _find(self, distinct: np.ndarray) -> np.ndarray:
         where = np.full(len(distinct), -1, np.int64)
@@ -235,7 +239,8 @@ class ColumnEncoder:
             where[open_[got >= 0]] = got[got >= 0] + base
         return where
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
+        self.check = np.concatenate([self.check, check])
         found = self.many(pieces)
         counts = np.fromiter(map(len, found), np.int32, len(found))
         added = np.fromiter((x for ids in found for x in ids), np.uint32, int(counts.sum()))
@@ -274,6 +279,7 @@ class ColumnEncoder:
         if lengths.max() > len(_PLACE_HASH):
             code = np.where(place >= len(_PLACE_HASH), mix64(code + place.astype(np.uint64)), code)
         h = mix64(np.add.reduceat(code, starts) + lengths.astype(np.uint64))
+        second = np.add.reduceat((points + np.uint64(1)) * _PLACE_CHECK[place & (len(_PLACE_CHECK) - 1)], starts) ^ lengths.astype(np.uint64)
         codes, distinct = pd.factorize(h)
         where = self._find(distinct)
         fresh = np.flatnonzero(where < 0)
@@ -285,8 +291,12 @@ class ColumnEncoder:
             seen = np.empty(len(distinct), np.int64)
             seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             some = seen[fresh]
-            self._learn(distinct[fresh], [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), (starts[some] + lengths[some]).tolist(), strict=True)])
+            self._learn(distinct[fresh], second[some], _bytes_of(joined, starts[some], lengths[some]))
         token = where[codes]
+        if (self.check[token] != second).any():
+            found = self.many(_bytes_of(joined, starts, lengths))
+            total = np.cumsum([0, *map(len, found)])
+            return np.array([x for ids in found for x in ids], np.uint32), total[np.searchsorted(starts, first)]
         counts = self.count[token]
         total = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=total[1:])
@@ -294,6 +304,17 @@ class ColumnEncoder:
         return ids, total[np.searchsorted(starts, first)]
 
 
+def _bytes_of(joined: str, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    return [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def two_tier(ranks_path: str) -> tuple[dict[bytes, int], TwoTier]:
+    """Ranks and encoder of a file, made once in each Python worker."""
+    ranks = read_ranks(ranks_path)
+    return ranks, TwoTier(ranks)
+
+
 def encode_decode(docs, ranks_path: str):
     """Ids of each text and the text decoded from them again, as digests: n_tokens, ids_sha256 (decimal ids joined by commas) and
     decoded_sha256. docs needs doc_id and text; other columns are not read. Rows stay as they are, repeated ones too."""
@@ -303,8 +324,8 @@ def encode_decode(docs, ranks_path: str):
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        encoder = ColumnEncoder(TwoTier(ranks).many)
+        ranks, two = two_tier(ranks_path)
+        encoder = ColumnEncoder(two.many)
         decode = {i: b for b, i in ranks.items()}.__getitem__
         decimal = {i: str(i) for i in ranks.values()}.__getitem__
         for batch in batches:
@@ -328,7 +349,7 @@ def encode_column(docs, ranks_path: str):
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ColumnEncoder(TwoTier(read_ranks(ranks_path)).many)
+        encoder = ColumnEncoder(two_tier(ranks_path)[1].many)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for at, part in encoder.slices(texts):

@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,13 +103,19 @@ def ranks_of_tokenizer(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}, special
 
 
-def tokenizer_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encoder of a tokenizer file for many texts at once; special tokens in a text count as such, as in that library."""
+@lru_cache(maxsize=2)
+def _core(path: str) -> tuple:
+    """(merging core, special tokens) of a tokenizer file, made once in each Python worker."""
     import public_tokenizers
     import tiktoken
 
     ranks, special = ranks_of_tokenizer(path)
-    core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe, special
+
+
+def tokenizer_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encoder of a tokenizer file for many texts at once; special tokens in a text count as such, as in that library."""
+    core, special = _core(path)
     encoder = ColumnEncoder(lambda pieces: list(map(core.encode_single_piece, pieces)))
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
