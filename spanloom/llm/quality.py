@@ -2,8 +2,9 @@
 
 quality_columns() computes the counts of a text with built-in expressions only; THRESHOLDS is compiled into one boolean. Nothing
 is shuffled and no user function runs. A null text is an empty text; it has no words and fails. Words are runs of anything but
-0x20 and 0x09-0x0D. Rows are judged one by one, so ties, repeated rows and other columns make no difference; result columns replace
-input columns of the same name.
+0x20 and 0x09-0x0D. Texts of any length are judged whole, an empty table gives an empty result. Rows are judged one by one, so ties,
+repeated rows and other columns make no difference; result columns replace input columns of the same name, whatever its case, and working
+columns get a prefix that no input column has.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ THRESHOLDS = (
     ("repeat_word_share", None, 0.5),
 )
 _BLANK = " \t\n\x0b\x0c\r"
-_WORK = "__q_"
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -40,26 +40,29 @@ def _without(text: Column, characters: str) -> Column:
 
 def quality_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the ratios of THRESHOLDS (double)."""
-    q = lambda name: F.col(_WORK + name)
+    work = "__q_"
+    while any(c.lower().startswith(work) for c in docs.columns):
+        work = "_" + work
+    q = lambda name: F.col(work + name)
     as_long = lambda c: c.cast("long")
-    step = docs.withColumn(_WORK + "text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    step = docs.withColumn(work + "text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     step = step.withColumns({
-        _WORK + "words": F.array_remove(F.split(q("text"), r"[\x20\x09-\x0D]+"), ""),
-        _WORK + "lines": F.filter(F.split(q("text"), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0),
+        work + "words": F.array_remove(F.split(q("text"), r"[\x20\x09-\x0D]+"), ""),
+        work + "lines": F.filter(F.split(q("text"), "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0),
     })
     # Windows of three words by hash, in order of the text; sorted, equal ones are neighbours.
     step = step.withColumns({
-        _WORK + "n": F.size(q("words")),
-        _WORK + "tri": F.slice(
+        work + "n": F.size(q("words")),
+        work + "tri": F.slice(
             F.transform(q("words"), lambda w, i: F.xxhash64(w, F.get(q("words"), i + 1), F.get(q("words"), i + 2))), F.lit(1), F.greatest(F.size(q("words")) - 2, F.lit(0))
         ),
     })
-    step = step.withColumn(_WORK + "sorted", F.sort_array(q("tri")))
-    step = step.withColumn(_WORK + "again", F.array_distinct(F.filter(q("sorted"), lambda x, i: x == F.get(q("sorted"), i - 1))))
+    step = step.withColumn(work + "sorted", F.sort_array(q("tri")))
+    step = step.withColumn(work + "again", F.array_distinct(F.filter(q("sorted"), lambda x, i: x == F.get(q("sorted"), i - 1))))
     # Starts of repeated windows: by lookup in the few that repeat or, where that would be long, by sorting windows with their places.
     few = F.size(q("again")).cast("long") * F.size(q("tri")) <= 4_000_000
     looked_up = F.filter(F.transform(q("tri"), lambda x, i: F.when(F.array_contains(q("again"), x), i).otherwise(F.lit(-1))), lambda p: p >= 0)
-    step = step.withColumn(_WORK + "pairs", F.when(few, F.lit(None)).otherwise(F.sort_array(F.transform(q("tri"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    step = step.withColumn(work + "pairs", F.when(few, F.lit(None)).otherwise(F.sort_array(F.transform(q("tri"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     paired = F.filter(
         F.transform(
             q("pairs"),
@@ -67,7 +70,7 @@ def quality_columns(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda p: p >= 0,
     )
-    step = step.withColumn(_WORK + "at", F.when(F.size(q("again")) == 0, F.array().cast("array<int>")).when(few, looked_up).otherwise(F.sort_array(paired)))
+    step = step.withColumn(work + "at", F.when(F.size(q("again")) == 0, F.array().cast("array<int>")).when(few, looked_up).otherwise(F.sort_array(paired)))
     covered = F.aggregate(F.transform(q("at"), lambda p, i: F.least(F.lit(3), F.coalesce(F.get(q("at"), i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     stop = F.size(F.filter(q("words"), lambda w: F.lower(w).isin(STOP_WORDS)))
     letters = F.length(F.regexp_replace(q("text"), r"\P{L}+", ""))
@@ -78,11 +81,11 @@ def quality_columns(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": as_long(_without(q("text"), SYMBOLS)),
         "n_dup_lines": as_long(F.size(q("lines")) - F.size(F.array_distinct(q("lines")))),
         "n_repeat_words": as_long(covered),
-        _WORK + "n_lines": F.size(q("lines")),
-        _WORK + "stop": stop,
-        _WORK + "letters": letters,
-        _WORK + "upper": upper,
-        _WORK + "marks": _without(q("text"), "!"),
+        work + "n_lines": F.size(q("lines")),
+        work + "stop": stop,
+        work + "letters": letters,
+        work + "upper": upper,
+        work + "marks": _without(q("text"), "!"),
     })
     words = F.greatest(F.col("n_words"), F.lit(1))
     step = step.withColumns({
@@ -94,7 +97,7 @@ def quality_columns(docs: DataFrame, text: str = "text") -> DataFrame:
         "dup_line_share": F.col("n_dup_lines") / F.greatest(q("n_lines"), F.lit(1)),
         "repeat_word_share": F.col("n_repeat_words") / words,
     })
-    return step.drop(*[c for c in step.columns if c.startswith(_WORK)])
+    return step.drop(*[c for c in step.columns if c.startswith(work)])
 
 
 def passes(thresholds=THRESHOLDS) -> Column:
