@@ -275,18 +275,19 @@ def surprise_of(bad: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
 
 
-def regress(n: int, row: np.ndarray, column: np.ndarray, vocabulary: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 200, l2: float = 1e-5) -> Model:
-    """Weighted logistic regression on soft targets of n texts by Adam on all of them; text row[k] has the word vocabulary[column[k]]."""
+def regress(n: int, row: np.ndarray, column: np.ndarray, vocabulary: np.ndarray, target: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, rounds: int = 200, l2: float = 1e-5) -> Model:
+    """Weighted logistic regression on soft targets of n texts by Adam on all of them; text row[k] has the word vocabulary[column[k]]. start:
+    weights to begin with, 0 if not given."""
     mean = float(np.clip(np.average(target, weights=weight), 1e-4, 1 - 1e-4))
     m, bias, total = len(vocabulary), float(np.log(mean / (1 - mean))), weight.sum()
-    w, m1, m2 = np.zeros(m), np.zeros(m + 1), np.zeros(m + 1)
+    w, m1, m2 = np.zeros(m) if start is None else start.astype(float), np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(row, w[column], n)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / total
         g = np.append(np.bincount(column, error[row], m) + l2 * w, error.sum())
         m1 += 0.1 * (g - m1)
         m2 += 0.01 * (g * g - m2)
-        step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-7)
+        step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-3)  # errors too small to matter move nothing
         w -= step[:-1]
         bias -= step[-1]
     return Model(vocabulary, w, bias)
@@ -461,8 +462,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_texts
 
 def regressed(sample: DataFrame) -> Model | None:
     """The regression on rows (y, weight, text) over words and stems that tell: the many rare words would otherwise learn the sample by heart.
-    None if there are no words."""
-    vocabulary, _, _ = telling(sample.select("y", "text"), features)
+    Each starts from its own log odds, so that a word doesn't stay weak only because it seldom stands alone. None if there are no words."""
+    vocabulary, q, mean = telling(sample.select("y", "text"), features)
+    logit = lambda x: np.log(np.clip(x, 0.02, 0.98) / (1 - np.clip(x, 0.02, 0.98)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,7 +479,7 @@ def regressed(sample: DataFrame) -> Model | None:
     lists = has.column("has").combine_chunks()
     weight = has.column("weight").to_numpy() * has.column("count").to_numpy()
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    return regress(len(lists), row, lists.flatten().to_numpy(), vocabulary, has.column("y").to_numpy(), weight)
+    return regress(len(lists), row, lists.flatten().to_numpy(), vocabulary, has.column("y").to_numpy(), weight, logit(q) - logit(mean))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
