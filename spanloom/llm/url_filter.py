@@ -3,11 +3,13 @@
 Reputation is empirical Bayes: the bad share of a host's labelled pages is shrunk towards its registered domain, that towards its
 suffix and that towards all pages, each level by a beta prior whose strength comes from the spread between the members of that level
 (method of moments) and whose mean leaves out the member's own pages, so that no page counts twice. A host is blocked if the lower bound of its posterior bad share, mean less Z standard deviations, is above LIMIT.
-Explicit rules come first: a rule "host/path" fits its host and all subdomains if the url's path starts with its path; the longest wins.
+Explicit rules come first: a rule "host/path" fits its host and all subdomains if the url's path starts with its path; the longest wins, and
+of equally long ones the last in the table.
 
-A null url, or one without "://", has an empty host and path; such urls share one empty host. A host without labelled pages gets the
+A null or empty url, or one without "://", has an empty host and path; such urls share one empty host. A host without labelled pages gets the
 prior of its domain or, failing that, suffix or all. With no labelled page at all nothing but rules blocks. Repeated rows count as often as they
-occur; every url keeps its row. Only page_id and url are read of pages, page_id and bad of outcomes.
+occur; every url keeps its row, however long it is. Empty tables give an empty result, or one without blocked hosts. Only page_id and url are read
+of pages, url and bad of outcomes, so other columns can't clash.
 """
 
 from __future__ import annotations
