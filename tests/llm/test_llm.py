@@ -2,7 +2,11 @@
 
 import collections
 import hashlib
+import itertools
+import math
+import os
 import random
+import types
 import zlib
 
 import numpy as np
@@ -114,6 +118,52 @@ def test_packing_tree_and_pieces(spark, odd, odd_rows, empty):
     assert windows.where("size(ids) <> length OR length > 2048").count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_packing_leaves_little_room(spark, partitions):
+    """Whatever the number of partitions; also where one row makes up a third of all."""
+    r = random.Random(3)
+    rows = [(i, words(r, int(r.expovariate(1 / 300)), 3000)) for i in range(600)] + [(7, words(r, 90, 3000))] * 300
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), P.path("byte_bpe_50k.json")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(x.doc_tokens for x in packed if x.start == 0) == sum(x.length for x in packed)
+    assert 1 - sum(x.length for x in packed) / (2048 * len({x.sequence_id for x in packed})) < 0.02
+
+
+def test_packing_in_blocks(spark):
+    rows = spark.createDataFrame([(i, "a b c d " * (i % 40)) for i in range(300)], "doc_id long, text string")
+    packed = packing.pack_documents(rows, P.path("byte_bpe_50k.json"), window=64, shards=2, block=20).collect()
+    by_window = collections.defaultdict(list)
+    for x in packed:
+        by_window[x.sequence_id].append((x.offset, x.length))
+    for w in by_window.values():
+        assert [o for o, _ in sorted(w)] == [sum(n for _, n in sorted(w)[:k]) for k in range(len(w))] and sum(n for _, n in w) <= 64
+
+
+def test_storage_needs_a_shared_folder(spark):
+    """A cluster without spark.checkpoint.dir is an error; tables go when dropped."""
+
+    def session(master, folder=None):
+        context = types.SimpleNamespace(master=master, setCheckpointDir=lambda at: None)
+        context.getConf = lambda: types.SimpleNamespace(get=lambda name, default: folder)
+        context._jsc = types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isEmpty=lambda: True, get=lambda: "set")))
+        return types.SimpleNamespace(sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.ensure_checkpoint_dir(session(master))
+        assert storage.ensure_checkpoint_dir(session(master, "hdfs://shared")) == "set"
+    rows = storage.table(spark.range(5))
+    at = rows._table_path.removeprefix("file:")
+    assert os.path.isdir(at) and rows.count() == 5
+    storage.drop(rows)
+    assert not os.path.exists(at)
+    storage.drop(rows, spark.range(1))  # nothing to do
+
+
 def test_special_tokens_in_texts(spark):
     path = P.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
@@ -145,6 +195,10 @@ def test_bpe(spark, odd, odd_rows, empty):
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert collections.Counter(map(tuple, got)) == want
     assert bpe.encode_decode(empty, path).count() == 0
+    plain = bpe.ColumnEncoder(two.many)
+    plain.encode(["abc def"])
+    plain.check[:] = 0  # as if other pre-tokens had the same hash
+    assert plain.encode(["abc def", "", "def"])[0].tolist() == known.encode_ordinary("abc def") + known.encode_ordinary("def")
     back = bpe.decode_column(bpe.encode_column(odd, path), path).collect()
     assert sorted(bytes(x.decoded) for x in back) == sorted((t or "").encode() for _, t, *_ in odd_rows)
 
@@ -169,6 +223,8 @@ def test_quality(spark, odd, odd_rows, empty):
     assert quality.judge(odd).count() == len(odd_rows) and quality.judge(empty).count() == 0
     kept = quality.keep(odd)
     assert kept.columns == odd.columns
+    mine = quality.judge(odd.withColumn("__q_mine", F.lit("a")).withColumn("__Q_text", F.lit("b"))).where("__q_mine = 'a' AND __Q_text = 'b'")
+    assert mine.count() == len(odd_rows) and not [c for c in mine.columns if c.startswith("___")]
     assert quality.keep(empty).count() == 0
     # sorting windows with their places gives what the look-up gives
     long = " ".join(f"r{i % 4000}" for i in range(12000))
@@ -176,18 +232,48 @@ def test_quality(spark, odd, odd_rows, empty):
     assert x.n_repeat_words == brute_quality(long)[4]
 
 
+def brute_chat(rows, part):
+    by = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn is not None, turn or 0, (role or "unknown").encode(), (text or "").replace("<|", "< |").encode()))
+    out = {}
+    for conv, turns in by.items():
+        chunks = []  # equal turns count as one, up to `part` of them
+        for _, same in itertools.groupby(sorted(turns)):
+            same = list(same)
+            chunks += [same[k : k + part] for k in range(0, len(same), part)]
+        for who in {r.decode() for _, _, r, _ in turns} - {"system"}:
+            for k in range(0, len(chunks), part):
+                text, mask, n = "", [], 0
+                for _, _, role, body in itertools.chain(*chunks[k : k + part]):
+                    role, body = role.decode(), body.decode() + chat.END
+                    text += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == who else f"<|user:{role}|>\n"
+                    if role == who:
+                        mask.append(f"{len(text)}:{len(text) + len(body)}")
+                    text += body
+                    n += 1
+                out[conv, who, k // part] = (n, text, ",".join(mask))
+    return out
+
+
 def test_chat(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "user", "a<|b"), (1, 2, None, None), (1, 70, "user", "late"), (1, None, "bob", "n"), (None, 0, "user", "x"), (2, 0, "system", "alone"), (1, 1, "user", "a<|b")]
-    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("part", F.lit(9))
-    got = {(x.conv_id, x.perspective, x.part): x for x in chat.perspectives(df).collect()}
-    assert {k[:2] for k in got} == {(1, "user"), (1, "unknown"), (1, "bob"), (None, "user")}
-    x = got[1, "user", 0]
-    assert x.rendered == "<|system|>\nS<|end|>\n" + "<|assistant|>\na< |b<|end|>\n" * 2 + "<|user:unknown|>\n<|end|>\n"
-    assert "".join(x.rendered[int(a) : int(b)] for a, b in (p.split(":") for p in x.mask.split(","))) == "a< |b<|end|>\n" * 2
-    assert got[1, "bob", 0].mask == "" and got[1, "bob", -1].n_turns == 1 and (1, "user", 1) in got
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "a<|b"), (1, 2, None, None), (1, 70, "user", "late"), (1, None, "bob", ""), (None, 0, "user", "x"), (2, 0, "system", "alone"), (1, 1, "user", "a<|b"), (3, 1, "é😀", "long " * 20000)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("part", F.lit(9)).withColumn("k", F.lit("clash"))
+    got = {(x.conv_id, x.perspective, x.part): (x.n_turns, x.rendered, x.mask) for x in chat.perspectives(df).collect()}
+    assert got == brute_chat(rows, chat.PART) and {k[:2] for k in got} == {(1, "user"), (1, "unknown"), (1, "bob"), (None, "user"), (3, "é😀")}
+    assert got[1, "user", 0][1].startswith("<|user:bob|>\n<|end|>\n<|system|>\nS<|end|>\n" + "<|assistant|>\na< |b<|end|>\n" * 2)
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_chat_long_conversations(spark):
+    """One conversation with most rows, many at one turn, many equal, many without a turn: no part grows with them."""
+    r = random.Random(8)
+    rows = [(1, r.choice([None, 1, 2, 3, r.randrange(500)]), r.choice("abc"), r.choice(["", "x", f"t{i}"])) for i in range(2000)] + [(1, 5, "a", "same")] * 150 + [(c, t, r.choice("ab"), "y") for c in range(2, 30) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(6)
+    got = {(x.conv_id, x.perspective, x.part): (x.n_turns, x.rendered, x.mask) for x in chat.perspectives(df, 16).collect()}
+    assert got == brute_chat(rows, 16) and max(n for n, *_ in got.values()) <= 16 * 16
+
+
 def test_urls(spark):
     urls = [
         ("http://A.Example.NET/en/x?q", "a.example.net", "/en/x", "example.net/en/", "allow"), ("https://net", "net", "", None, "allow"), ("x://net/", "net", "/", "net/", "block"),
@@ -200,6 +286,11 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, outcomes).collect()}
     assert got == {i: u[1:] for i, u in enumerate(urls)}
     assert url_filter.judge(pages.limit(0), outcomes).count() == 0
+    long = "https://" + "a." * 3000 + "net/" + "p/" * 20000 + "?q"
+    odd = spark.createDataFrame([(1, ""), (2, long), (2, long), (3, "://"), (4, "https:///path"), (None, "https://bad.com/")], "page_id int, url string")
+    rules = (("block", "bad.com/"), ("allow", "net/pp/"), ("block", "a.net/p/"), ("allow", "net/p/p/"))  # the last two fit and are equally long: the later one counts
+    found = collections.Counter((x.page_id, len(x.host), len(x.path), x.rule, x.verdict) for x in url_filter.judge(odd, outcomes, rules).collect())
+    assert found == {(1, 0, 0, None, "allow"): 1, (2, 6003, 40001, "net/p/p/", "allow"): 2, (3, 0, 0, None, "allow"): 1, (4, 0, 5, None, "allow"): 1, (None, 7, 1, "bad.com/", "block"): 1}
     assert {r.verdict for r in url_filter.judge(pages, outcomes.limit(0)).where("rule IS NULL").collect()} == {"allow"}
 
 
@@ -233,6 +324,27 @@ def test_licenses(spark, odd, empty):
     assert [(x.doc_id, x.license, x.containment) for x in one] == [(1, "mit-line", 1.0)]
 
 
+def test_empty_bins():
+    """Bins filled from a table or by attempts hold what attempts alone find."""
+    r = np.random.default_rng(5)
+    bins = 128
+    least = np.full((60, bins), fingerprint._NONE)
+    for i in range(60):
+        full = r.choice(bins, [0, 1, 2, 5, 31, 32, 33, 60, 127, 128][i % 10], replace=False)
+        least[i, full] = r.integers(0, 2**63, len(full)).astype(np.uint64)
+    got = fingerprint.densify(least)
+    for i in range(60):
+        for j in range(bins):
+            if (least[i] == fingerprint._NONE).all():
+                assert got[i, j] == fingerprint._NONE
+                continue
+            at, attempt = j, 0
+            while least[i, at] == fingerprint._NONE:
+                attempt += 1
+                at = int(fingerprint._source(np.array([j]), attempt, bins)[0])
+            assert got[i, j] == least[i, at]
+
+
 def test_fingerprints(spark, odd, odd_rows, empty, corpus):
     df = spark.createDataFrame(corpus, "doc_id int, text string").repartition(5)
     got = {x.doc_id: x for x in fingerprint.with_edits(df, parts=7).collect()}
@@ -282,6 +394,53 @@ def test_substrings(spark, corpus, monkeypatch, group):
         assert hashlib.sha256(b" ".join(x.text.encode().split())).hexdigest() == want[x.doc_id][2]
 
 
+def brute_nodes(rows):
+    """Maximal repeats of WINDOW words or more, cut at DEPTH, of distinct texts: (first doc, place, words) -> occurrences."""
+    texts, seen = [], set()
+    for i, t in sorted(rows):
+        if t not in seen:
+            seen.add(t)
+            texts.append((i, t.encode().split()))
+    at = collections.defaultdict(list)
+    for i, w in texts:
+        for j in range(len(w) - substring.WINDOW + 1):
+            for n in range(substring.WINDOW, min(substring.DEPTH, len(w) - j) + 1):
+                at[tuple(w[j : j + n])].append((i, j, w[j - 1] if j else None, w[j + n] if j + n < len(w) else None))
+    out = {}
+    for g, where in at.items():
+        before, after = [b for *_, b, _ in where], [a for *_, a in where]
+        many = lambda xs: len(set(xs)) > 1 or None in xs
+        if len(where) > 1 and many(before) and (many(after) or len(g) == substring.DEPTH):
+            i, j, *_ = min(x[:2] for x in where)
+            out[i, j, len(g)] = len(where)
+    return out
+
+
+def test_maximal_repeats(spark, corpus):
+    rows = [*corpus, (500, "p q r " * 40), (501, corpus[3][1]), (502, "zz " + corpus[3][1])]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    got = {(x["doc"], x["at"], x["words"]): x["occurrences"] for x in substring.maximal_repeats(df).collect()}
+    assert got == brute_nodes(rows) and {n for *_, n in got} > {20, 32} and max(got.values()) > 2
+
+
+def test_suffix_tree_nodes():
+    r = random.Random(5)
+    for _ in range(50):
+        suffixes = sorted("".join(r.choice("ab") for _ in range(6)) for _ in range(r.randrange(1, 14)))
+        common = np.array([0] + [len(os.path.commonprefix(p)) for p in itertools.pairwise(suffixes)])
+        tree, rank = substring.SuffixTree(common, 5), np.array(r.sample(range(len(suffixes)), len(suffixes)))
+        for depth in range(2, 6):
+            want = {}
+            for i, j in itertools.combinations(range(len(suffixes)), 2):
+                shared = min(5, len(os.path.commonprefix([suffixes[i], suffixes[j]])))
+                if shared == depth:
+                    prefix = suffixes[i][:depth]
+                    want[next(k for k, x in enumerate(suffixes) if x.startswith(prefix))] = sum(x.startswith(prefix) for x in suffixes)
+            assert dict(zip(*(x.tolist() for x in tree.nodes(depth)), strict=True)) == want
+        deepest = [max([min(5, len(os.path.commonprefix([x, y]))) for j, y in enumerate(suffixes) if rank[j] < rank[i]], default=0) for i, x in enumerate(suffixes)]
+        assert tree.repeated(rank, 2).tolist() == [d if d >= 2 else 0 for d in deepest]
+
+
 def test_substrings_odd(spark, odd, odd_rows, empty):
     rows = substring.cut_repeats(odd, digest=True).collect()
     assert len(rows) == len(odd_rows) and {x.n_removed for x in rows if x.doc_id == 2} == {200} and {x.n_removed for x in rows if x.doc_id == 1} == {0}
@@ -346,6 +505,16 @@ def test_keep_one_of_each_class(spark):
     assert {(None, b), (1, c), (1, d), (4, "")} <= set(kept)
 
 
+def test_near_duplicate_copies(spark):
+    """A text with most rows as copies, spread over tasks, and unlike texts that share a frequent passage."""
+    r = random.Random(21)
+    hot, passage = words(r, 80, 5000), words(r, 30, 5000)
+    rows = [(i, hot) for i in range(300)] + [(300 + i, passage + " " + words(r, 60, 5000)) for i in range(40)] + [(400 + i, " ".join([*hot.split()[:-1], f"end{i}"])) for i in range(30)]
+    got = {x.doc_id: (x.class_id, x.class_size) for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    want = brute_classes(rows)
+    assert {i: c for i, (c, _) in got.items()} == want and got[5] == (0, 330)
+
+
 def test_dart_signatures_estimate_weighted_likeness():
     r = np.random.default_rng(3)
     elements = textvec.mix64(np.arange(300, dtype=np.uint64))
@@ -384,6 +553,107 @@ def test_toxicity(spark, odd, odd_rows, empty):
     assert max(x.score for x in toxicity.classify(odd, known.limit(0)).collect()) < 1e-5
 
 
+def plain_em(fired, count, toxic, prior, parents):
+    """The label model text by text, in plain loops; parents: those to use once independent voters have come to rest."""
+    n, m = len(fired), len(toxic)
+    p = [0.9 if sum(f * (1 if t else -1) for f, t in zip(row, toxic, strict=True)) > 0 else 0.1 * prior for row in fired]
+    for parent in ([-1] * m, parents):
+        for _ in range(200):
+            by = [[(1 - p[k]) * count[k] for k in range(n)], [p[k] * count[k] for k in range(n)]]
+
+            def held(hits, texts, side):
+                rate = [hits[c] / texts[c] for c in range(2)]
+                return [sum(hits) / sum(texts)] * 2 if (rate[1] < rate[0] if side else rate[0] < rate[1]) else rate
+
+            rate = [held([sum(by[c][k] * fired[k][j] for k in range(n)) + 0.5 for c in range(2)], [sum(by[c]) + 1 for c in range(2)], toxic[j]) for j in range(m)]
+            chance = [[[rate[j][c]] * 2 for c in range(2)] for j in range(m)]
+            for j in range(m):
+                for v in range(2) if parent[j] >= 0 else ():
+                    own = [k for k in range(n) if fired[k][parent[j]] == v]
+                    got = held([sum(by[c][k] * fired[k][j] for k in own) + rate[j][c] for c in range(2)], [sum(by[c][k] for k in own) + 1 for c in range(2)], toxic[j])
+                    for c in range(2):
+                        chance[j][c][v] = got[c]
+            new = []
+            for row in fired:
+                odds = [prior if c else 1 - prior for c in range(2)]
+                for j in range(m):
+                    for c in range(2):
+                        x = chance[j][c][row[parent[j]] if parent[j] >= 0 else 0]
+                        odds[c] *= x if row[j] else 1 - x
+                new.append(odds[1] / sum(odds))
+            moved, p = max(abs(a - b) for a, b in zip(p, new, strict=True)), new
+            if moved < 1e-9:
+                break
+    return p, rate
+
+
+def test_label_model():
+    r = np.random.default_rng(4)
+    n = 4000
+    y = r.random(n) < 0.2
+    rates = [(0.7, 0.03), (0.6, 0.05), (0.5, 0.02), (0.1, 0.4), (0.65, 0.08)]
+    fired = np.stack([np.where(y, r.random(n) < a, r.random(n) < b) for a, b in rates], axis=1).astype(int)
+    fired = np.concatenate([fired, np.where(r.random((n, 1)) < 0.95, fired[:, :1], 1 - fired[:, :1])], axis=1)  # nearly a copy of the first voter
+    toxic = np.array([True, True, True, False, True, True])
+    rows, count = np.unique(fired, axis=0, return_counts=True)
+    p, model = toxicity.label_model(rows, count.astype(float), toxic, 0.2)
+    assert {(0, 5), (5, 0)} & {(j, int(model.parent[j])) for j in range(6)}  # the copy and its original are neighbours
+    want, want_rates = plain_em(rows.tolist(), count.tolist(), toxic.tolist(), 0.2, model.parent.tolist())
+    assert np.abs(p - want).max() < 1e-6 and np.abs(model.rate.T - want_rates).max() < 1e-6
+    assert np.abs(model.rate[1, :5] - [a for a, _ in rates]).max() < 0.08 and np.abs(model.rate[0, :5] - [b for _, b in rates]).max() < 0.04
+    each = {tuple(row): x for row, x in zip(rows.tolist(), p, strict=True)}
+    assert np.mean((np.array([each[tuple(f)] for f in fired.tolist()]) >= 0.5) == y) > 0.93
+    both, alone = each[1, 0, 0, 0, 0, 1], each[0, 1, 0, 0, 0, 0]
+    assert abs(math.log(both / (1 - both)) - math.log(alone / (1 - alone))) < 1.5  # a voter and its copy say little more than one voter
+
+
+def plain_logistic(lists, target, weight, words_, l2=1e-5):
+    """Plain gradient descent to the same optimum, for a few words."""
+    w, bias, total = dict.fromkeys(words_, 0.0), 0.0, sum(weight)
+    for _ in range(6000):
+        error = [(1 / (1 + math.exp(-(bias + sum(w[x] for x in has)))) - t) * c / total for has, t, c in zip(lists, target, weight, strict=True)]
+        for x in words_:
+            w[x] -= 2.0 * (sum(e for e, has in zip(error, lists, strict=True) if x in has) + l2 * w[x])
+        bias -= 2.0 * sum(error)
+    return w, bias
+
+
+def test_regression():
+    r = random.Random(6)
+    lists = [[k for k in range(3) if r.random() < 0.4] for _ in range(60)]
+    target, weight = [0.1 + 0.25 * len(x) for x in lists], [r.choice([1.0, 3.0]) for _ in lists]
+    w, bias = plain_logistic(lists, target, weight, range(3))
+    row = np.repeat(np.arange(60), [len(x) for x in lists])
+    got = toxicity.regress(60, row, np.array([k for x in lists for k in x]), np.arange(3, dtype=np.uint64), np.array(target), np.array(weight), rounds=4000)
+    assert np.abs(got.weights - [w[k] for k in range(3)]).max() < 0.02 and abs(got.bias - bias) < 0.02
+
+
+def test_votes():
+    texts = ["you are an Idiot", "idiot. You", "sh**t here", "soooo good", "WHY ARE YOU ALL SHOUTING HERE", "what!!!", "a!! b", "see http://x.org", "worthless clown, pathetic", None, "", "plain text", "über vorzüglich"]
+    code = toxicity.Voting(toxicity.Mined(toxicity.hashes_of("plain"), np.zeros(0, np.uint64), toxicity.hashes_of("über"))).codes(pa.array(texts))
+    fired = [{n for n, _ in toxicity.VOTERS if c & toxicity.BIT[n]} for c in code.tolist()]
+    assert fired == [{"mind", "address"}, {"mind"}, {"masked"}, {"stretched"}, {"shouting"}, {"marks"}, set(), {"links"}, {"mind", "worth", "themes"}, set(), set(), {"mined words"}, {"mined clean words"}]
+
+
+def test_telling_words(spark):
+    """A passage's words don't count for each of its near copies; a word that turns up in many places does."""
+    r = random.Random(13)
+    passage = words(r, 60, 100000).split()
+    rows = [(1.0, " ".join(x if r.random() > 0.05 else f"e{r.randrange(9999)}" for x in passage)) for _ in range(80)]
+    rows += [(1.0, " ".join([*words(r, 20, 400).split(), "vile", *words(r, 20, 400).split()])) for _ in range(40)] + [(0.0, words(r, 50, 400)) for _ in range(150)]
+    found, q, _ = toxicity.telling(spark.createDataFrame(rows, "y double, text string").repartition(3), toxicity._words_only)
+    assert found.tolist() == toxicity.hashes_of("vile").tolist() and q.tolist() == [1.0]
+
+
+def test_conflicting_labels(spark):
+    """A doc_id labelled both ways has no label; the same label twice is one."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 12)], "doc_id long, text string")
+    ids = [i for i in range(1, 12) if zlib.crc32(str(i).encode()) % 5]
+    labels = [(i, 0) for i in ids] + [(ids[0], 1), (ids[1], 0), (None, 1), (ids[2], None)]
+    rows, counts = toxicity.labelled_texts(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert counts == {0: len(ids) - 1} and sorted(x.text for x in rows.collect()) == sorted(f"text {i}" for i in ids[1:])
+
+
 def test_pipeline_stages(spark, tmp_path, corpus, odd_rows):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, " the ".join(t.split()), "en", "s", len(t)) for i, t in corpus[:60]]
@@ -399,3 +669,69 @@ def test_pipeline_stages(spark, tmp_path, corpus, odd_rows):
         out = corpus_pipeline.STAGES[-1][1](spark, docs, str(folder))
         assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         assert (out.count() == 0) == (name == "none")
+
+
+def brute_keeps(t):
+    n, chars, symbols, dup, repeat = brute_quality(t)
+    lines = [x for x in t.split("\n") if x.encode().split()]
+    listed = [w.decode() for w in t.encode().split()]
+    if n < 50 or 100 * repeat > 50 * n:
+        return False
+    letters, upper = sum(c.isalpha() for c in t), sum(c.isupper() for c in t)
+    return 2 <= chars / n <= 20 and symbols <= 0.15 * n and t.count("!") <= 0.5 * n and upper <= 0.5 * max(letters, 1) and sum(w.lower() in quality.STOP_WORDS for w in listed) >= 0.02 * n and dup <= 0.5 * max(len(lines), 1)
+
+
+def brute_cut(rows):
+    """Texts without the windows of 20 words that start earlier, kept runs of words as they were."""
+    import re
+
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        w, keep = [t[a:b] for a, b in spans], [True] * len(spans)
+        for j in range(len(w) - 19):
+            g = tuple(w[j : j + 20])
+            if g in seen:
+                keep[j : j + 20] = [False] * 20
+            seen.add(g)
+        runs = [list(g) for k, g in itertools.groupby(range(len(w)), key=keep.__getitem__) if k]
+        out[i] = t if all(keep) else "\n".join(t[spans[g[0]][0] : spans[g[-1]][1]] for g in runs)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, corpus):
+    """All five stages on a corpus with toxic, poor, near-duplicate and repeating texts give the pieces that plain code gives."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    r = random.Random(31)
+    base = [(i, " the ".join(t.split())) for i, t in corpus]
+    rows = base + [(200 + i, " the ".join(words(r, 60, 800).split())) for i in range(120)]
+    labels = []
+    for k, (i, t) in enumerate(rows):
+        if k % 4 == 1:
+            w = t.split() or ["the"]
+            for _ in range(3):
+                w.insert(r.randrange(len(w) + 1), r.choice(["idiot", "scum", "worthless"]))
+            rows[k] = (i, " ".join(w))
+        labels.append((i, 1, int(k % 4 == 1)))
+    rows += [(400, None), (401, ""), (402, rows[8][1]), (403, rows[8][1] + " more")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(x.doc_id, x.start): (x.length, x.ids_crc32, x.doc_tokens) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    score = model.score(pa.array([t for _, t in rows]))
+    insulted = [i for i, t in rows if t and {"idiot", "scum", "worthless"} & set(t.split())]
+    assert sorted(i for (i, _), x in zip(rows, score, strict=True) if x >= 0.5) == sorted(insulted)
+    good = [(i, t or "") for i, t in rows if i not in insulted and brute_keeps(t or "")]
+    classes = brute_classes(good)
+    cut = brute_cut([(i, t) for i, t in good if classes[i] == i])
+    assert 40 < len(cut) < len(good) < len(rows) - len(insulted) and any(t != dict(good)[i] for i, t in cut.items())
+    whole, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}
+    for i, t in cut.items():
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 1]
+        for a in range(0, len(ids), 2048):
+            piece = ids[a : a + 2048]
+            want[i, a] = len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)
+    assert got == want
