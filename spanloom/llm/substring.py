@@ -18,7 +18,7 @@ removed. Repeats are judged on the input. The steps:
    beyond WINDOW words is covered by the suffixes that start after them.
 6. Repeats, merged into word ranges, are cut from the texts.
 
-Words are compared by 64-bit hashes, a window by 128 bits of them. Texts are whole and of any length; null texts are empty texts and have
+Words are compared by 64-bit hashes, a window by 96 bits of them or more. Texts are whole and of any length; null texts are empty texts and have
 no words. Documents of under WINDOW words have no window. Rows that repeat both doc_id and text are one document and get the same result;
 texts that share a doc_id are ordered by their MD5; a null doc_id comes before all others. An empty table gives an empty result. Input
 columns are carried in a struct, so none of them clashes with a working column. Words are runs of anything but 0x20 and 0x09-0x0D.
@@ -41,8 +41,8 @@ WINDOW = 20
 GRAM = 8
 DEPTHS = (5, 10, 20)
 #: Words to which the suffixes of a subtree are compared.
-DEPTH = 32
-#: Suffixes of one prefix up to which they are sorted together, some 3 MB, and 14 MB where all of them are leaves of one subtree.
+DEPTH = 28
+#: Suffixes of one prefix up to which they are sorted together, some 3 MB, and 10 MB where all of them are leaves of one subtree.
 GROUP = 100_000
 #: Rows up to which document numbers (8 bytes) or ranges (24 bytes or less each) are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
@@ -132,8 +132,8 @@ def deep_leaves(suffixes: DataFrame, parts: int) -> DataFrame:
     return suffixes.repartition(parts, "g").sortWithinPartitions("a", "b", "c").select("a", "b", "c", "doc", "at").mapInArrow(run, "doc long, at int")
 
 
-def tree_rows(docs: DataFrame) -> DataFrame:
-    """a, b, c, tail, prev, doc, at of the suffixes at the places ats of each text: hashes of their first 5, 10 and 20 words, those of
+def tree_rows(docs: DataFrame, with_prev: bool = False) -> DataFrame:
+    """b, c, tail, doc, at and, if asked for, prev of the suffixes at the places ats of each text: hashes of their first 10 and 20 words, those of
     each further word up to DEPTH, 0 past the end, and that of the word before, 0 at the start. docs: doc, text, ats."""
     more = np.arange(WINDOW, DEPTH)
 
@@ -149,21 +149,19 @@ def tree_rows(docs: DataFrame) -> DataFrame:
                 begin = first[text] + place
                 if not len(begin):
                     continue
-                a, b, c = (textvec.chain(hashes, d)[begin] for d in DEPTHS)
+                b, c = (textvec.chain(hashes, d)[begin] for d in DEPTHS[1:])
                 for i in range(0, len(begin), 65536):
                     part = slice(i, i + 65536)
                     further = begin[part, None] + more
                     tail = np.where(further < first[text[part] + 1, None], hashes[np.minimum(further, len(hashes) - 1)], np.uint64(0))
-                    size = tail.shape[1] * 8
-                    tails = pa.Array.from_buffers(pa.binary(), len(tail), [None, pa.py_buffer(np.arange(len(tail) + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(np.ascontiguousarray(tail))])
-                    prev = np.where(place[part] > 0, hashes[np.maximum(begin[part] - 1, 0)], np.uint64(0)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((a[part] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((b[part] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(c[part].view(np.int64)), tails,
-                         pa.array(prev), batch.column(0).take(pa.array(row + text[part])), pa.array(place[part].astype(np.int32))],
-                        names=["a", "b", "c", "tail", "prev", "doc", "at"],
-                    )
+                    cuts = np.arange(len(tail) + 1, dtype=np.int32) * np.int32(8 * len(more))
+                    tails = pa.Array.from_buffers(pa.binary(), len(tail), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(tail))])
+                    columns = [pa.array((b[part] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(c[part].view(np.int64)), tails, batch.column(0).take(pa.array(row + text[part])), pa.array(place[part].astype(np.int32))]
+                    if with_prev:
+                        columns.append(pa.array(np.where(place[part] > 0, hashes[np.maximum(begin[part] - 1, 0)], np.uint64(0)).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(columns, names=["b", "c", "tail", "doc", "at", "prev"][: len(columns)])
 
-    return docs.select("doc", "text", "ats").mapInArrow(run, "a int, b int, c long, tail binary, prev long, doc long, at int")
+    return docs.select("doc", "text", "ats").mapInArrow(run, "b int, c long, tail binary, doc long, at int" + ", prev long" * with_prev)
 
 
 class SuffixTree:
@@ -197,19 +195,19 @@ class SuffixTree:
 
 
 def _sorted_subtrees(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(parts, "a", "b", "c").sortWithinPartitions("a", "b", "c", "tail").select("a", "b", "c", "tail", "prev", "doc", "at")
+    return rows.repartition(parts, "b", "c").sortWithinPartitions("b", "c", "tail")
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[SuffixTree, pa.RecordBatch, np.ndarray]]:
     """(tree, its leaves, their rank by doc and place) of whole subtrees, some at a time, from rows of _sorted_subtrees()."""
 
     def tree(rows: pa.RecordBatch, new: np.ndarray) -> tuple[SuffixTree, pa.RecordBatch, np.ndarray]:
-        tails = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(rows.num_rows, DEPTH - WINDOW)
+        tails = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(rows.num_rows, DEPTH - WINDOW)
         same = (tails[1:] == tails[:-1]) & (tails[1:] != 0)
         common = np.zeros(rows.num_rows, np.int64)
         common[1:] = np.where(new[1:], 0, WINDOW + np.logical_and.accumulate(same, axis=1).sum(axis=1))
         rank = np.empty(rows.num_rows, np.int64)
-        rank[np.lexsort((rows.column(6).to_numpy(), rows.column(5).to_numpy()))] = np.arange(rows.num_rows)
+        rank[np.lexsort((rows.column(4).to_numpy(), rows.column(3).to_numpy()))] = np.arange(rows.num_rows)
         return SuffixTree(common), rows, rank
 
     held = None
@@ -219,7 +217,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[SuffixTree, pa.R
         held = _joined(held, batch)
         new = np.zeros(held.num_rows, bool)
         new[0] = True
-        for k in range(3):
+        for k in range(2):
             label = held.column(k).to_numpy()
             new[1:] |= label[1:] != label[:-1]
         cut = int(np.flatnonzero(new)[-1])  # the last subtree may go on
@@ -239,7 +237,7 @@ def tree_marks(rows: DataFrame, parts: int) -> DataFrame:
         for tree, leaves, rank in _trees(batches):
             words = tree.repeated(rank, WINDOW)
             keep = pa.array(words > 0)
-            yield pa.RecordBatch.from_arrays([leaves.column(5).filter(keep), leaves.column(6).filter(keep), pa.array(words[words > 0].astype(np.int32))], names=["doc", "at", "words"])
+            yield pa.RecordBatch.from_arrays([leaves.column(3).filter(keep), leaves.column(4).filter(keep), pa.array(words[words > 0].astype(np.int32))], names=["doc", "at", "words"])
 
     return _sorted_subtrees(rows, parts).mapInArrow(run, "doc long, at int, words int")
 
@@ -249,7 +247,7 @@ def tree_nodes(rows: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree, leaves, rank in _trees(batches):
-            prev, by_rank = leaves.column(4).to_numpy(), np.argsort(rank)
+            prev, by_rank = leaves.column(5).to_numpy(), np.argsort(rank)
             for depth in range(WINDOW, DEPTH + 1):
                 begin, count = tree.nodes(depth)
                 if not len(begin):
@@ -261,7 +259,7 @@ def tree_nodes(rows: DataFrame, parts: int) -> DataFrame:
                 free = (low != high) | (np.bincount(member, prev[leaf] == 0) > 0)
                 first = pa.array(by_rank[np.minimum.reduceat(rank[leaf], cuts)[free]])
                 yield pa.RecordBatch.from_arrays(
-                    [leaves.column(5).take(first), leaves.column(6).take(first), pa.array(np.full(len(first), depth, np.int32)), pa.array(count[free])], names=["doc", "at", "words", "occurrences"]
+                    [leaves.column(3).take(first), leaves.column(4).take(first), pa.array(np.full(len(first), depth, np.int32)), pa.array(count[free])], names=["doc", "at", "words", "occurrences"]
                 )
 
     return _sorted_subtrees(rows, parts).mapInArrow(run, "doc long, at int, words int, occurrences long")
@@ -296,7 +294,7 @@ def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     return some.join(places.hint("merge"), "doc")
 
 
-def _subtrees(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+def _subtrees(docs: DataFrame, parts: int, with_prev: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """(copies: doc; rows of tree_rows(); repeats of WINDOW words with too frequent prefixes: doc, at, words; tables to drop)."""
     keyed = docs.select("doc", content_key(F.col("text")).alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -315,8 +313,9 @@ def _subtrees(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFr
     places = storage.table(leaves.groupBy("doc").agg(F.collect_list("at").alias("ats")))
     deep = suffixes.join(hot, ["a", "b"], "left_semi")
     earliest = deep.groupBy("a", "b", "c").agg(F.min(F.struct("doc", "at")).alias("first"))
-    in_nodes = deep.join(earliest, ["a", "b", "c"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(WINDOW).alias("words"))
-    return copies, tree_rows(_with_places(own, places)), in_nodes, [suffixes, often, hot, places]
+    in_nodes = storage.table(deep.join(earliest, ["a", "b", "c"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(WINDOW).alias("words")))
+    storage.drop(suffixes, often, hot)
+    return copies, tree_rows(_with_places(own, places), with_prev), in_nodes, [places, in_nodes]
 
 
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +334,7 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
     text), doc being unique and in the order of precedence.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    _, rows, _, tables = _subtrees(docs, parts)
+    _, rows, _, tables = _subtrees(docs, parts, with_prev=True)
     out = storage.table(tree_nodes(rows, parts))
     storage.drop(*tables)
     return out
