@@ -1,15 +1,18 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact verification.
 
 Two texts are linked if the weighted Jaccard likeness of their shingles of five words, weighted by how often they occur, is THRESHOLD
-or more; classes are the connected components of links, and a class is named by its least doc_id. Exact copies become one content
-first, by the MD5 of the text, and only distinct contents are compared.
+or more; classes are the connected components of links, and a class is named by its least doc_id. Exact copies become one content,
+by the MD5 of the text, and only distinct contents are compared; a task signs a text once, however many copies of it it meets.
 
 Contents that share a band fall into a bucket. A bucket is not expanded into pairs: in each round its members outside the leader's class
 are compared with one leader, the member with the most company over all buckets (in further rounds, if asked for, one drawn by a hash). What is still in
 different classes afterwards is compared pair by pair, each pair once, if their sizes and a longer sketch of each leave a
-likeness of THRESHOLD possible (SIGMAS standard deviations below it). With 32 bands of 4 rows a pair of likeness 0.8 misses all bands with probability 5e-8.
+likeness of THRESHOLD possible (SIGMAS standard deviations below it). With 32 bands of 4 rows a pair of likeness 0.8 misses all bands with
+probability 5e-8, and a sketch misses it with 2e-8. Counts by bucket and by class are tables before they are joined, so that Spark can split
+the rows of a frequent bucket or a large class among tasks.
 
-Null texts count as empty. A text without words is linked to its exact copies only; one of one to four words is one shingle. Repeated
+Texts are compared whole and may be of any length. An empty table gives an empty result. Columns other than doc_id and text are carried in a
+struct or not read, so none clashes. Null texts count as empty. A text without words is linked to its exact copies only; one of one to four words is one shingle. Repeated
 rows are copies of each other. Rows with a null doc_id keep a null doc_id and are named by the least other doc_id of their class, if any.
 """
 
@@ -29,12 +32,14 @@ WIDTH = 5
 COORDINATES = 128
 ROWS_PER_BAND = 4
 THRESHOLD = 0.8
-SIGMAS = 4.0
+SIGMAS = 5.5
 #: Coordinates and bits of the sketches that decide which pairs are worth an exact look.
 SKETCH, SKETCH_BITS = 1024, 2
 LEADER_ROUNDS = 1
 #: Contents up to which their texts are found by a broadcast of keys (24 bytes each); beyond it by a shuffle.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 200_000
+#: Texts that a task remembers as signed, by their MD5.
+REMEMBERED = 1_000_000
 _GOLD = np.uint64(textvec._MULT)
 
 
@@ -134,16 +139,25 @@ def contents(docs: DataFrame, k: int = COORDINATES) -> DataFrame:
     """key, rep (least doc_id), weight (number of shingles), signature of each distinct text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[bytes] = set()
         for batch in batches:
-            sig, total = signature_column(batch.column(2), k)
-            has = total > 0
-            keep = pa.array(np.flatnonzero(has))
-            weight = pa.array(total[has])
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(sig[has].reshape(-1)), k).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), weight, lists], names=["key", "doc_id", "weight", "signature"])
+            keys, first = batch.column(0).to_pylist(), []
+            for i, key in enumerate(keys):
+                if key not in signed:
+                    signed.add(key)
+                    first.append(i)
+            sig, total = signature_column(batch.column(2).take(pa.array(first, pa.int64())), k)
+            at = np.full(len(keys), -1)
+            at[first] = np.arange(len(first))
+            rows = np.flatnonzero((at < 0) | (total[at] > 0 if len(total) else False))  # copies stand without a signature
+            of = pa.array(at[rows], mask=at[rows] < 0)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.reshape(-1)), k).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(total).take(of), lists.take(of)], names=["key", "doc_id", "weight", "signature"])
+            if len(signed) > REMEMBERED:
+                signed.clear()
 
     rows = docs.select(content_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key binary, doc_id long, weight double, signature array<int>").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.max("signature").alias("signature"))
+    return rows.mapInArrow(run, "key binary, doc_id long, weight double, signature array<int>").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.max("signature").alias("signature")).where("weight > 0")
 
 
 def bands(rows: DataFrame, per_band: int = ROWS_PER_BAND, k: int = COORDINATES) -> DataFrame:
@@ -183,43 +197,51 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     root = storage.table(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")))
     ways = edges.union(edges.select("v", "u")).toDF("node", "near")
+    last = root
     while True:
         near = ways.join(root.withColumnRenamed("node", "near").withColumnRenamed("root", "r"), "near").groupBy("node").agg(F.min("r").alias("r"))
-        step = root.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        step = storage.table(step.join(up, "root").select("node", F.col("higher").alias("root"), "moved"))
-        root = step.select("node", "root")
+        lower = storage.table(root.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        up = lower.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        step = storage.table(lower.join(up, "root").select("node", F.col("higher").alias("root"), "moved"))
+        storage.drop(last, lower)
+        root, last = step.select("node", "root"), step
         if step.where("moved").isEmpty():
             break
     named = labels.join(root.select(F.col("node").alias("label"), "root"), "label", "left")
-    return storage.table(named.select("key", F.coalesce("root", "label").alias("label")))
+    out = storage.table(named.select("key", F.coalesce("root", "label").alias("label")))
+    storage.drop(edges, last)
+    return out
 
 
 def classes_of_contents(docs: DataFrame, threshold: float = THRESHOLD, per_band: int = ROWS_PER_BAND, k: int = COORDINATES) -> DataFrame:
     """key, label of the contents that share a band with another; equal labels are one class."""
     all_ = storage.table(contents(docs, k))
     rows = bands(all_, per_band, k)
-    shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = storage.table(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = storage.table(rows.join(shared, "h"))
     company = storage.table(buckets.groupBy("key").agg(F.sum("n").alias("company")))
     texts = storage.table(_texts_of(docs, all_.join(company, "key", "left_semi").select("key", "rep")))
-    labels = company.select("key", F.col("key").alias("label"))
+    labels = storage.table(company.select("key", F.col("key").alias("label")))
     for step in range(LEADER_ROUNDS):
         order = F.col("company") if step == 0 else F.xxhash64("key", "h", F.lit(step))
-        members = buckets.join(company.join(labels, "key"), "key").select("h", "key", "label", F.struct(order.alias("order"), "key", "label").alias("as_leader"))
-        leaders = members.groupBy("h").agg(F.max("as_leader").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h", "leader.key", "leader.label").toDF("h", "leader", "leader_label")
+        members = storage.table(buckets.join(company.join(labels, "key"), "key").select("h", "key", "label", F.struct(order.alias("order"), "key", "label").alias("as_leader")))
+        led = members.groupBy("h").agg(F.max("as_leader").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        leaders = storage.table(led.select("h", "leader.key", "leader.label").toDF("h", "leader", "leader_label"))
         apart = members.join(leaders, "h").where("label <> leader_label").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        labels = _joined(labels, _verified(apart, texts, threshold))
-    members = buckets.join(labels, "key")
-    mixed = members.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+        labels, before = _joined(labels, _verified(apart, texts, threshold)), labels
+        storage.drop(members, leaders, *([before] if labels is not before else []))
+    members = storage.table(buckets.join(labels, "key").select("h", "key", "label"))
+    mixed = storage.table(members.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h"))
     left = storage.table(members.join(mixed, "h").select("h", "key", "label"))
     own = storage.table(left.select("key").distinct())
-    known = all_.join(own, "key").select("key", "weight", _band_hashes(per_band, k).alias("hs")).join(_sketches(texts.join(own, "key")), "key")
-    left = left.join(storage.table(known), "key")
-    x, y = (left.select(*(F.col(c).alias(f"{c}_{s}") for c in left.columns)) for s in "ab")
+    known = storage.table(all_.join(own, "key").select("key", "weight", _band_hashes(per_band, k).alias("hs")).join(_sketches(texts.join(own, "key")), "key"))
+    both = left.join(known, "key")
+    x, y = (both.select(*(F.col(c).alias(f"{c}_{s}") for c in both.columns)) for s in "ab")
     once = F.element_at("hs_a", F.array_position(F.zip_with("hs_a", "hs_b", lambda p, q: p == q), F.lit(True)).cast("int")) == F.col("h_a")  # in the first band that both share
     rest = x.join(y, (F.col("h_a") == F.col("h_b")) & (F.col("label_a") < F.col("label_b")) & (F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")) & _may_be_alike(threshold) & once)
-    return _joined(labels, _verified(rest.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")), texts, threshold))
+    out = _joined(labels, _verified(rest.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")), texts, threshold))
+    storage.drop(all_, shared, buckets, company, texts, members, mixed, left, own, known, *([labels] if out is not labels else []))
+    return out
 
 
 def _band_hashes(per_band: int, k: int) -> Column:
@@ -262,7 +284,8 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     labels = classes_of_contents(docs, threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("key"))
     named = storage.table(rows.join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label")))
-    sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    sizes = storage.table(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    storage.drop(labels)
     return named.join(sizes, "label")
 
 
