@@ -7,13 +7,15 @@ number, are stored. Two fingerprints that agree in m of BINS bins have the
 likeness (m / BINS - 2**-BITS) / (1 - 2**-BITS), cut to 0..1: unequal bins agree by chance with probability 2**-BITS.
 
 A text of one to four words is one shingle. A text without words, null included, has the fingerprint "" ; two of those have the
-likeness 1, and one of them and any other text 0. Equal texts have equal fingerprints.
+likeness 1, and one of them and any other text 0. Equal texts, repeated rows among them, have equal fingerprints. Texts of any length
+are hashed whole. An empty table gives an empty result; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .textvec import mix64
 
 BINS = 1024
 BITS = 4
+#: Attempts that empty bins make side by side, and full bins of a row up to which they make none.
+ATTEMPTS, FEW = 64, 32
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -45,24 +49,57 @@ def signatures(column: pa.Array, bins: int = BINS, bits: int = BITS) -> tuple[np
     return out, full
 
 
+def _source(at: np.ndarray, attempt: int, bins: int) -> np.ndarray:
+    return (mix64(at.astype(np.uint64) * np.uint64(0x10001) + np.uint64(attempt << 40)) % np.uint64(bins)).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def _sources(bins: int) -> np.ndarray:
+    """Where each bin looks at its first attempts."""
+    return np.stack([_source(np.arange(bins), k + 1, bins) for k in range(ATTEMPTS)])
+
+
+@lru_cache(maxsize=2)
+def _turns(bins: int) -> np.ndarray:
+    """The attempt at which each bin (column) first looks at each other one (row)."""
+    out, attempt, all_ = np.zeros((bins, bins), np.int32), 1, np.arange(bins)
+    left = bins * bins
+    while left:
+        at = _source(all_, attempt, bins)
+        new = out[at, all_] == 0
+        out[at[new], all_[new]] = attempt
+        left -= int(new.sum())
+        attempt += 1
+    return out
+
+
 def densify(least: np.ndarray) -> np.ndarray:
-    """Fills empty bins of rows that have a full one."""
+    """Fills empty bins of rows that have a full one. Rows with few full bins, where attempts would be many, ask which of them comes first."""
     bins = least.shape[1]
     empty = least == _NONE
-    some = ~empty.all(axis=1)
-    rows, at = np.nonzero(empty & some[:, None])
-    attempt = 1
+    held = bins - empty.sum(axis=1)
     out = least.copy()
-    while len(rows):
-        source = (mix64(at.astype(np.uint64) * np.uint64(0x10001) + np.uint64(attempt << 40)) % np.uint64(bins)).astype(np.int64)
+    rows, at = np.nonzero(empty & (held > FEW)[:, None])
+    for sources in _sources(bins) if len(rows) else ():
+        source = sources[at]
         value = least[rows, source]
         hit = value != _NONE
         out[rows[hit], at[hit]] = value[hit]
         rows, at = rows[~hit], at[~hit]
-        attempt += 1
+    for row in np.flatnonzero((held > 0) & (held <= FEW)):
+        _first_full(least[row], out[row], np.flatnonzero(empty[row]))
+    left = np.flatnonzero(np.diff(rows, prepend=-1))
+    for row, own in zip(rows[left], np.split(at, left[1:]), strict=True) if len(rows) else ():
+        _first_full(least[row], out[row], own)
     return out
 
 
+def _first_full(least: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    """Fills the bins `at` of one row."""
+    full = np.flatnonzero(least != _NONE)
+    out[at] = least[full[_turns(len(least))[full][:, at].argmin(axis=0)]]
+
+
 def pack_hex(signature: np.ndarray, full: np.ndarray, bits: int = BITS) -> list[str]:
     """Hexadecimal text of the low bits of each row, "" for a text without words."""
     rows, bins = signature.shape
