@@ -17,17 +17,35 @@ from spanloom.model import no_spans, span
 FENCE = "\u0001"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often use names it; for the inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Each entry joined with all before it, by doubling: n log n steps, where one append for each would copy n squared."""
+    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(shifts, values, lambda acc, shift: F.transform(acc, lambda x, i: F.when(i < shift, x).otherwise(both(x, F.get(acc, i - shift)))))
+
+
+def running_sums(values: Column) -> Column:
+    return _running(values, lambda x, y: x + y)
+
+
+def running_max(values: Column) -> Column:
+    return _running(values, lambda x, y: F.greatest(x, y))
+
+
 def _walk(text: Column, pieces: Column, make: Callable[[Column, Column, Column], Column]) -> Column:
-    """make(value, start, end) for every second piece, empty ones excepted, in one pass."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
+    """make(value, start, end) for every second piece, empty ones excepted."""
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        found = make(F.substring(text, acc["pos"] + 1, F.length(piece)), acc["pos"], end)
-        out = F.when(acc["hit"] & (F.length(piece) > 0), F.array_append(acc["out"], found)).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), out.alias("out"))
+    def spans(pieces: Column, ends: Column) -> Column:
+        odd = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i % 2 == 1) & (F.length(F.get(pieces, i)) > 0))
+        place = lambda i: F.get(ends, i - 1)
+        value = lambda i: F.when(text.contains(FENCE), F.substring(text, place(i) + 1, F.length(F.get(pieces, i)))).otherwise(F.get(pieces, i))
+        return F.transform(odd, lambda i: make(value(i), place(i), F.get(ends, i)))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return let(pieces, lambda p: let(running_sums(F.transform(p, lambda x: F.length(x))), lambda ends: spans(p, ends)))
 
 
 def regex_spans(text: Column, pattern: str, type_: str, source: str, confidence: float = 1.0, gate: Column | None = None, group: bool = False) -> Column:

@@ -85,6 +85,11 @@ def output_name(path: Column, at: Column) -> Column:
     return F.concat(stem, F.lit("_ano_"), F.date_format(at, "yyyyMMddHHmmss"), suffix)
 
 
+def grouped_digits(n: Column) -> Column:
+    """A whole number with a space before each three digits."""
+    return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
+
+
 def page_rect(x0: Column, y0: Column, x1: Column, y1: Column, zoom: Column) -> Column:
     """A drawn rectangle in page points with its corners in order; null if under one point wide or high."""
     left, right, top, low = F.least(x0, x1) / zoom, F.greatest(x0, x1) / zoom, F.least(y0, y1) / zoom, F.greatest(y0, y1) / zoom

@@ -70,6 +70,11 @@ class Referential:
     def active_codes(self) -> list[str]:
         return [c for c in dict.fromkeys([*(t.code for t in self.types), *self.overrides]) if self.is_active(c)]
 
+    def counter(self) -> str:
+        """How many of the types that detectors find are active."""
+        listed = [t for t in self.types if t.method != "rule"]
+        return f"{sum(self.is_active(t.code) for t in listed)} / {len(listed)} actifs"
+
     def active_by_method(self, method: str) -> list[str]:
         return [t.code for t in self.types if t.method == method and self.is_active(t.code)]
 
@@ -102,3 +107,27 @@ class Referential:
         import json
 
         return cls(tuple(TypeInfo(**x) for x in json.loads(text)["entities"]), overrides or {})
+
+
+@dataclass(frozen=True)
+class Preferences:
+    """What a user chose, kept as JSON; keys that are missing have their defaults."""
+
+    output_dir: str | None = None
+    entity_overrides: dict[str, bool] = field(default_factory=dict)
+    ner_stoplist: list[str] | None = None
+
+    def to_json(self) -> str:
+        import json
+        from dataclasses import asdict
+
+        return json.dumps(asdict(self), ensure_ascii=False, indent=2)
+
+    @classmethod
+    def from_json(cls, text: str) -> Preferences:
+        import json
+
+        return cls(**{k: v for k, v in json.loads(text).items() if k in cls.__dataclass_fields__})
+
+    def referential(self) -> Referential:
+        return Referential().with_overrides(**self.entity_overrides)

@@ -8,15 +8,38 @@ from pyspark.sql import functions as F
 from spanloom.model import Referential
 
 
-def audit_report(spans: DataFrame, referential: Referential, order: list[str]) -> DataFrame:
-    """type, original, tag, occurrences, locations, confirme of each type and value. spans needs location; locations are joined in the
-    order given, repeats kept; confirme is oui if all occurrences are confirmed."""
+#: Types of rows that no detector makes, with their tags: hand-drawn rectangles and blanked metadata.
+OTHER_TAGS = {"ZONE": "[ZONE]", "META": ""}
+
+
+def _tag(referential: Referential) -> Column:
+    tag = referential.tag_for(F.when(F.col("type").isin(*OTHER_TAGS), F.lit(None)).otherwise(F.col("type")))
+    for type_, own in OTHER_TAGS.items():
+        tag = F.when(F.col("type") == type_, own).otherwise(tag)
+    return tag.alias("tag")
+
+
+def audit_report(spans: DataFrame, referential: Referential, order: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """type, original, tag, occurrences, locations, confirme of each type and value, and of each `by` before them. spans needs location;
+    locations are joined in the order given, repeats kept; confirme is oui if all occurrences are confirmed. All locations of a value make
+    one text; where a value may be too frequent for that, audit_counts() and audit_locations() give the same as rows."""
     placed = F.sort_array(F.collect_list(F.struct(*order, F.col("location").alias("location"))))
-    return spans.groupBy("type", F.col("value").alias("original")).agg(
+    return spans.groupBy(*by, "type", F.col("value").alias("original")).agg(
         F.count("*").alias("occurrences"),
         F.array_join(F.transform(placed, lambda x: x["location"]), "; ").alias("locations"),
         F.when(F.bool_and("confirmed"), "oui").otherwise("non").alias("confirme"),
-    ).select("type", "original", referential.tag_for(F.col("type")).alias("tag"), "occurrences", "locations", "confirme")
+    ).select(*by, "type", "original", _tag(referential), "occurrences", "locations", "confirme")
+
+
+def audit_counts(spans: DataFrame, referential: Referential, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """audit_report() without locations: an aggregate that is partly done before its shuffle, however frequent a value is."""
+    counted = spans.groupBy(*by, "type", F.col("value").alias("original")).agg(F.count("*").alias("occurrences"), F.when(F.bool_and("confirmed"), "oui").otherwise("non").alias("confirme"))
+    return counted.select(*by, "type", "original", _tag(referential), "occurrences", "confirme")
+
+
+def audit_locations(spans: DataFrame, order: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """type, original, the columns of order and location of each occurrence, as a row; nothing is shuffled."""
+    return spans.select(*by, "type", F.col("value").alias("original"), *order, "location")
 
 
 def value_counts(spans: DataFrame) -> DataFrame:

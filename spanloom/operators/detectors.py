@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanloom.functions import validators as V
-from spanloom.functions.spans import literal_spans, regex_spans
+from spanloom.functions.spans import let, literal_spans, regex_spans, running_sums
 from spanloom.model import SPANS, no_spans, span
 
 #: What each type looks like. Java syntax, Unicode classes.
@@ -100,26 +100,61 @@ class ModelRecognizer:
     threshold: float = 0.5
     chunk: int | None = 1000
 
-    def spans(self, text: Column, codes: list[str]) -> Column:
+    def _finder(self, codes: list[str]) -> Callable:
         load, threshold, chunk = self.load, self.threshold, self.chunk
         labels = {NER_LABELS.get(c, c.lower()): c for c in codes}
 
-        @F.pandas_udf("array<struct<type:string,value:string,start:int,end:int,confidence:double>>")
-        def recognise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def start() -> Callable[[list[str | None]], list[list[dict]]]:
             model = load()
-            for texts in batches:
+
+            def find(texts: list[str | None]) -> list[list[dict]]:
                 cuts = [(i, a, b) for i, t in enumerate(texts) for a, b in (chunks(t or "", chunk) if chunk else [(0, len(t or ""))])]
                 found: list[list[dict]] = [[] for _ in texts]
-                for (i, a, _), hits in zip(cuts, model([texts.iloc[i][a:b] for i, a, b in cuts], list(labels)), strict=True):
+                for (i, a, _), hits in zip(cuts, model([(texts[i] or "")[a:b] for i, a, b in cuts], list(labels)), strict=True):
                     for label, start, end, score in hits:
                         if score >= threshold:
-                            found[i].append({"type": labels.get(label, label.upper()), "value": texts.iloc[i][a + start : a + end], "start": a + start, "end": a + end, "confidence": float(score)})
-                yield pd.Series([sorted(x, key=lambda s: (s["start"], s["end"] - s["start"])) for x in found])
+                            found[i].append({"type": labels.get(label, label.upper()), "value": texts[i][a + start : a + end], "start": a + start, "end": a + end, "confidence": float(score)})
+                return [sorted(x, key=lambda s: (s["start"], s["end"] - s["start"])) for x in found]
+
+            return find
+
+        return start
+
+    def spans(self, text: Column, codes: list[str]) -> Column:
+        start = self._finder(codes)
+
+        @F.pandas_udf(_FOUND)
+        def recognise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = start()
+            for texts in batches:
+                yield pd.Series(find(list(texts)))
+
+        return F.transform(recognise(text), _as_span).cast(SPANS)
+
+    def array_spans(self, texts: Column, codes: list[str]) -> Column:
+        """spans() of each entry of an array of texts."""
+        start = self._finder(codes)
+
+        @F.pandas_udf(f"array<{_FOUND}>")
+        def recognise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = start()
+            for lists in batches:
+                flat = find([t for texts in lists for t in (texts if texts is not None else ())])
+                at, out = 0, []
+                for texts in lists:
+                    n = 0 if texts is None else len(texts)
+                    out.append(flat[at : at + n])
+                    at += n
+                yield pd.Series(out)
+
+        return F.transform(recognise(texts), lambda found: F.transform(found, _as_span).cast(SPANS))
+
+
+_FOUND = "array<struct<type:string,value:string,start:int,end:int,confidence:double>>"
+
 
-        return F.transform(
-            recognise(text),
-            lambda s: F.struct(s["type"], s["value"], s["start"], s["end"], F.lit("ner").alias("source"), s["confidence"], F.lit(True).alias("confirmed"), F.lit(0).alias("seq")),
-        ).cast(SPANS)
+def _as_span(s: Column) -> Column:
+    return F.struct(s["type"], s["value"], s["start"], s["end"], F.lit("ner").alias("source"), s["confidence"], F.lit(True).alias("confirmed"), F.lit(0).alias("seq"))
 
 
 def chunks(text: str, most: int) -> list[tuple[int, int]]:
@@ -135,17 +170,6 @@ def chunks(text: str, most: int) -> list[tuple[int, int]]:
 
 def chunk_column(text: Column, most: int = 1000) -> Column:
     """chunks() as a native expression: array of (start, end)."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    steps = F.sequence(F.lit(0), F.floor(F.length(text) * 2 / most).cast("int") + 1)
-
-    def step(acc: Column, _: Column) -> Column:
-        window = F.substring(text, acc["pos"] + 1, F.lit(most))
-        ahead = F.length(window) - F.instr(F.reverse(window), " ") + 1
-        whole = acc["pos"] + most >= F.length(text)
-        cut = F.when(whole, F.length(text)).when(F.instr(F.reverse(window), " ").between(1, most - 1), acc["pos"] + ahead).otherwise(acc["pos"] + most)
-        grown = F.array_append(acc["out"], F.struct(acc["pos"].alias("start"), cut.cast("int").alias("end")))
-        more = acc["pos"] < F.length(text)
-        return F.struct(F.when(more, cut.cast("int")).otherwise(acc["pos"]).alias("pos"), F.when(more, grown).otherwise(acc["out"]).alias("out"))
-
-    # two steps take `most` characters or more, so this many are enough
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    cuts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{most}}}\z|.{{1,{most - 1}}} |.{{{most}}}"), F.lit(0))  # the rest; up to the last space; or hard
+    sizes = F.transform(cuts, lambda c: F.length(c))
+    return let(sizes, lambda n: let(running_sums(n), lambda ends: F.transform(ends, lambda end, i: F.struct((end - F.get(n, i)).alias("start"), end.alias("end")))))

@@ -52,6 +52,11 @@ def page_texts(placed: DataFrame) -> DataFrame:
     )
 
 
+def page_counts(pages: DataFrame) -> DataFrame:
+    """doc_id, pages: how many pages each document has."""
+    return pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
+
+
 def document_texts(pages: DataFrame) -> DataFrame:
     """doc_id, text: pages joined by a blank line."""
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("text"))

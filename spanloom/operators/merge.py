@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import let, running_max, running_sums
 from spanloom.model import SPANS, Referential, no_spans
 
 
@@ -33,12 +34,30 @@ def by_place(spans: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda k: k["s"])
 
 
+def _strongest(spans: Column) -> Column:
+    """Those of a group of spans that stay, from the strongest down, in order of place."""
+    ranked = F.array_sort(spans, _by_rank)
+    return by_place(F.aggregate(ranked, no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.array_append(acc, s))))
+
+
 def merge(spans: Column) -> Column:
     """Keeps spans from the strongest down unless they overlap a kept one: deterministic and rule spans first, then by confidence, length
-    and earlier place in the array. The result is in order of place."""
-    ranked = F.array_sort(numbered(spans), _by_rank)
-    kept = F.aggregate(ranked, no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.array_append(acc, s)))
-    return F.when(F.size(spans) <= 1, numbered(spans)).otherwise(by_place(kept))
+    and earlier place in the array. The result is in order of place.
+
+    Only spans that hang together by overlaps compete: in order of place a group ends where the next span starts at or after all ends so far."""
+
+    def apart(placed: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), lambda i: (i == 0) | (F.get(placed, i)["start"] >= F.get(reach, i - 1)))
+
+        def groups(heads: Column) -> Column:
+            stop = lambda k: F.coalesce(F.get(heads, k + 1), F.size(placed))
+            own = lambda h, k: F.slice(placed, h + 1, stop(k) - h)
+            return F.flatten(F.transform(heads, lambda h, k: F.when(stop(k) - h == 1, own(h, k)).otherwise(_strongest(own(h, k)))))
+
+        return F.when(F.size(heads) == F.size(placed), placed).otherwise(let(heads, groups))
+
+    resolved = let(by_place(numbered(spans)), lambda placed: let(running_max(F.transform(placed, lambda s: s["end"])), lambda reach: apart(placed, reach)))
+    return F.when(F.size(spans) <= 1, numbered(spans)).otherwise(resolved)
 
 
 def mask(text: Column, spans: Column, referential: Referential) -> Column:
@@ -58,12 +77,6 @@ def confirmed_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["confirmed"])
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array of lengths, by doubling: n log n steps, where one append for each would copy n squared."""
-    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
-    return F.aggregate(shifts, lengths, lambda acc, shift: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - shift), F.lit(0))))
-
-
 def _first_not(spans: Column, before: Callable[[Column], Column]) -> Column:
     """How many spans lead the array for which before holds, by halving; it must hold for none after them."""
 
@@ -100,7 +113,7 @@ def mask_runs(runs: Column, spans: Column, referential: Referential) -> Column:
         return F.transform(x["runs"], lambda run, i: masked(run, F.coalesce(F.get(x["ends"], i - 1), F.lit(0)), F.get(x["ends"], i), x["spans"]))
 
     lengths = F.transform(runs, lambda r: F.coalesce(F.length(r), F.lit(0)))
-    once = F.struct(runs.alias("runs"), _ends(lengths).alias("ends"), F.filter(spans, lambda s: s["end"] > s["start"]).alias("spans"))
+    once = F.struct(runs.alias("runs"), running_sums(lengths).alias("ends"), F.filter(spans, lambda s: s["end"] > s["start"]).alias("spans"))
     return F.when(F.size(spans) > 0, F.get(F.transform(F.array(once), all_runs), F.lit(0))).otherwise(runs)
 
 

@@ -52,6 +52,39 @@ def first_confirmed(spans: DataFrame, order: list[str]) -> DataFrame:
     return spans.groupBy("type", "value").agg(F.min_by("confirmed", F.struct(*order)).alias("on"), F.bool_and("confirmed").alias("confirmed"))
 
 
+def with_defaults(spans: DataFrame, order: list[str]) -> DataFrame:
+    """spans with value_on: whether the first occurrence of their type and value, by order, is confirmed. The defaults are one row for each value
+    and are joined, so a frequent value is split among tasks."""
+    own = first_confirmed(spans, order).select(F.col("type").alias("__type"), F.col("value").alias("__value"), F.col("on").alias("value_on"))
+    return spans.join(own, (F.col("type") == F.col("__type")) & (F.col("value") == F.col("__value"))).drop("__type", "__value")
+
+
+def retain_units(spans: DataFrame, policy: Policy, side: Column, order: list[str]) -> DataFrame:
+    """The review of a document's units: spans with retained. In main parts the type and the value are on, a value by default if its first
+    occurrence there is confirmed; side parts (comments, notes) aren't reviewed and keep their confirmed spans whatever the toggles."""
+    main = retain(with_defaults(spans.where(~side), order), policy, F.col("value_on")).drop("value_on")
+    return main.unionByName(spans.where(side).withColumn("retained", F.col("confirmed")))
+
+
+def retain_occurrences(spans: DataFrame, policy: Policy, order: list[str], excluded: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """The review of pages: type and value are on, and the occurrence isn't among those excluded (rows of the columns `on`)."""
+    return retain(with_defaults(spans, order), policy, F.col("value_on"), excluded, on).drop("value_on")
+
+
+def rects_by_page(spans: DataFrame, manual: DataFrame, order: list[str]) -> DataFrame:
+    """doc_id, page, rects to black out: those of retained spans (doc_id, page, rects, retained), in order, then hand-drawn ones (doc_id, page,
+    rect). Rectangles that repeat count once; a page bounds the group."""
+    found = spans.where("retained").select("doc_id", "page", F.lit(0).alias("drawn"), F.struct(*order).alias("at"), "rects")
+    drawn = manual.select("doc_id", "page", F.lit(1).alias("drawn"), F.lit(None).cast(found.schema["at"].dataType).alias("at"), F.array("rect").alias("rects"))
+    listed = F.sort_array(F.collect_list(F.struct("drawn", "at", "rects")))
+    return found.unionByName(drawn).groupBy("doc_id", "page").agg(F.array_distinct(F.flatten(F.transform(listed, lambda x: x["rects"]))).alias("rects"))
+
+
+def zone_rows(manual: DataFrame) -> DataFrame:
+    """Audit rows of hand-drawn rectangles (doc_id, page from 0): type ZONE, at their page."""
+    return manual.select("doc_id", "page", F.lit("ZONE").alias("type"), F.lit("(zone manuelle)").alias("value"), F.lit(True).alias("confirmed"), F.concat(F.lit("page "), (F.col("page") + 1).cast("string")).alias("location"))
+
+
 def pending(spans: DataFrame) -> DataFrame:
     """Unconfirmed spans that aren't retained."""
     return spans.where(~F.col("confirmed") & ~F.col("retained"))
@@ -77,6 +110,17 @@ def page(rows: DataFrame, index: int, order: list[str], size: int = 20) -> DataF
     return rows.orderBy(*order).offset(min(max(index, 0), last) * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: list[str], last: tuple | None = None, size: int = 20) -> DataFrame:
+    """The page that follows the row with the values `last` in the columns of order, which must tell rows apart and not be null; the first
+    page without it. However deep, it sorts no more than its own rows."""
+    if last is not None:
+        later = F.lit(False)
+        for column, value in reversed(list(zip(order, last, strict=True))):
+            later = (F.col(column) > F.lit(value)) | ((F.col(column) == F.lit(value)) & later)
+        rows = rows.where(later)
+    return rows.orderBy(*order).limit(size)
+
+
 def page_count(rows: DataFrame, size: int = 20) -> DataFrame:
     return rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("pages"))
 

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import let
 from spanloom.model import Referential, no_spans
 from spanloom.operators import detectors as D
 from spanloom.operators import merge as M
@@ -23,9 +24,9 @@ class Config:
     mask_unconfirmed: bool = False
 
 
-def candidates(text: Column, config: Config) -> Column:
+def candidates(text: Column, config: Config, recognized: Column | None = None) -> Column:
     """All spans before resolution: deterministic, secrets, recogniser, forced. Only detectors of active types are planned, and the
-    recogniser only if a type it finds is active."""
+    recogniser only if a type it finds is active; recognized are its spans where they are known already."""
     ref = config.referential
     found = [D.deterministic(text, t) for t in D.PATTERNS if ref.is_active(t)]
     known = [D.contextual(text, t) for t in D.CONTEXT if ref.is_active(t)]
@@ -33,7 +34,8 @@ def candidates(text: Column, config: Config) -> Column:
     if ref.is_active("PASSWORD"):
         found.append(D.secret_shapes(text, F.concat(*known) if known else None))
     if codes := ref.active_by_method("ner"):
-        found.append(F.filter(config.recognizer.spans(text, codes), lambda s: ref.active_column(s["type"])))
+        own = config.recognizer.spans(text, codes) if recognized is None else recognized
+        found.append(F.filter(own, lambda s: ref.active_column(s["type"])))
     found.append(config.rules.forced_spans(text))
     return F.concat(*found) if found else no_spans()
 
@@ -70,19 +72,43 @@ def anonymize(docs: DataFrame, key: str, config: Config = Config(), text: str =
     return Result(masked, rows, audit_report(rows.withColumn("location", where), config.referential, [key, "start"]))
 
 
-def anonymize_cells(rows: DataFrame, config: Config = Config(), columns: list[int] | None = None, cells: str = "cells", header: bool = True, row_id: str = "row_id") -> DataFrame:
-    """rows (row_id, cells) with cells of the given columns masked in place, header excepted; no shuffle. columns None: maskable_columns()."""
+def anonymize_cells(rows: DataFrame, config: Config = Config(), columns: Column | list[int] | None = None, cells: str = "cells", header: Column | bool = True, row_id: str = "row_id", spans: str | None = None) -> DataFrame:
+    """rows with the cells of the given columns masked in place, header rows excepted; all other columns of rows stay.
+
+    columns: numbers, or a column of numbers for each row, as where rows of several files stand together; None: maskable_columns(), which runs a
+    query. header: whether row 0 is one. spans names a column to add: the retained spans of each cell. Cells are masked inside their array, so
+    nothing is shuffled; only cells that are to be masked are looked at.
+    """
     from spanloom.operators.retention import maskable_columns
 
-    chosen = maskable_columns(rows, cells, header, row_id) if columns is None else columns
-    body = F.lit(True) if not header else F.col(row_id) > 0
-    flat = rows.select("*", F.posexplode_outer(cells).alias("column_id", "cell"))
-    seen = detect(flat, config, "cell").withColumn("cell", F.when(body & F.col("column_id").isin(chosen or [-1]), M.mask(F.col("cell"), retained(F.col("spans"), config), config.referential)).otherwise(F.col("cell")))
-    back = seen.groupBy(row_id).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("column_id").isNotNull(), F.struct("column_id", "cell")))), lambda x: x["cell"]).alias(cells))
-    return back
+    if columns is None:
+        columns = maskable_columns(rows, cells, True if isinstance(header, Column) else header, row_id)
+    chosen = columns if isinstance(columns, Column) else F.array(*map(F.lit, columns)).cast("array<int>")
+    body = ~(F.lit(header) if isinstance(header, bool) else header) | (F.col(row_id) > 0)
+    work = next(w for w in ("__spans", "___spans", "____spans") if w not in rows.columns)
+    codes, model = config.referential.active_by_method("ner"), getattr(config.recognizer, "array_spans", None)
+    step, recognized = rows, None
+    if codes and model is not None:
+        step = rows.withColumn(work + "_found", model(F.when(body, F.transform(cells, lambda c, i: F.when(F.array_contains(chosen, i), c))), codes))
+        recognized = lambda i: F.coalesce(F.get(F.col(work + "_found"), i), no_spans())
+
+    def found(c: Column, i: Column) -> Column:
+        resolved = let(candidates(c, config, recognized(i) if recognized else None), M.merge)
+        if config.rules.live("keep"):
+            resolved = F.filter(resolved, lambda s: ~config.rules.keeps(s["value"]))
+        return F.when(body & c.isNotNull() & F.array_contains(chosen, i), retained(resolved, config)).otherwise(no_spans())
+
+    step = step.withColumn(work, F.transform(cells, found))
+    step = step.withColumn(cells, F.transform(cells, lambda c, i: let(F.get(F.col(work), i), lambda s: M.mask(c, s, config.referential))))
+    return (step.withColumnRenamed(work, spans) if spans else step.drop(work)).drop(work + "_found")
+
+
+def distinct_texts(units: DataFrame, text: str = "text") -> DataFrame:
+    """Each text of units once, and how many units have it."""
+    return units.groupBy(text).agg(F.count("*").alias("units"))
 
 
 def anonymize_distinct(units: DataFrame, config: Config, text: str = "text") -> DataFrame:
     """units with spans, each distinct text being looked at once: worth two shuffles where a model recognises."""
-    once = detect(units.select(text).distinct(), config, text)
+    once = detect(distinct_texts(units, text).select(text), config, text)
     return units.join(once.withColumnRenamed(text, "__text"), F.col(text).eqNullSafe(F.col("__text")), "left").drop("__text")

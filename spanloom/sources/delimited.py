@@ -58,23 +58,35 @@ def delimiter_votes(lines: DataFrame, key: str) -> DataFrame:
     return lines.select(key).distinct().join(best, key, "left").select(key, F.coalesce("delimiter", F.lit(DEFAULT)).alias("delimiter"))
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """path, row_id (from 0, header included), cells array<string>, dialect. Rows stay ragged; a file is parsed by one task."""
+def text_columns(rows: list[list[str]], has_header: bool) -> list[int]:
+    """Columns that have a letter in a data cell."""
+    return sorted({i for row in rows[has_header:] for i, cell in enumerate(row) if any(map(str.isalpha, cell))})
+
+
+ROWS = "path string, row_id long, cells array<string>, delimiter string, encoding string, has_header boolean, line_end string, header array<string>, text_columns array<int>"
+
+
+def read_rows(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, row_id (from 0, header included), cells array<string>, dialect, header cells (none without a header), columns with text. Rows stay
+    ragged; a file is parsed by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 d = dialect_of(content)
                 rows = list(csv.reader(io.StringIO(decode(content)[0], newline=""), delimiter=d.delimiter))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path_] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(rows, pa.list_(pa.string())), pa.array([d.delimiter] * n, pa.string()),
-                     pa.array([d.encoding] * n, pa.string()), pa.array([d.has_header] * n, pa.bool_()), pa.array([d.line_end] * n, pa.string())],
-                    names=["path", "row_id", "cells", "delimiter", "encoding", "has_header", "line_end"],
-                )
+                header, with_text = rows[0] if d.has_header and rows else [], text_columns(rows, d.has_header)
+                for at in range(0, len(rows), 10_000):
+                    part = rows[at : at + 10_000]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path_] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), pa.array(part, pa.list_(pa.string())), pa.array([d.delimiter] * n, pa.string()),
+                         pa.array([d.encoding] * n, pa.string()), pa.array([d.has_header] * n, pa.bool_()), pa.array([d.line_end] * n, pa.string()), pa.array([header] * n, pa.list_(pa.string())),
+                         pa.array([with_text] * n, pa.list_(pa.int32()))],
+                        names=["path", "row_id", "cells", "delimiter", "encoding", "has_header", "line_end", "header", "text_columns"],
+                    )
 
-    schema = "path string, row_id long, cells array<string>, delimiter string, encoding string, has_header boolean, line_end string"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
 def read_flat(spark: SparkSession, path: str, delimiter: str, has_header: bool) -> DataFrame:
@@ -83,7 +95,8 @@ def read_flat(spark: SparkSession, path: str, delimiter: str, has_header: bool)
 
 
 def file_content(rows: DataFrame) -> DataFrame:
-    """path, content: the bytes of each file from its rows, least quoting, in its own dialect and encoding."""
+    """path, content: the bytes of each file from its rows, least quoting, in its own dialect and encoding; a character that the encoding
+    doesn't have is an error."""
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
         first = table.slice(0, 1).to_pylist()[0]
@@ -91,7 +104,7 @@ def file_content(rows: DataFrame) -> DataFrame:
         writer = csv.writer(out, delimiter=first["delimiter"], lineterminator=first["line_end"])
         order = sorted(zip(table.column("row_id").to_pylist(), table.column("cells").to_pylist(), strict=True), key=lambda r: r[0])
         writer.writerows(cells for _, cells in order)
-        return pa.table({"path": [key[0].as_py()], "content": [out.getvalue().encode(first["encoding"], "replace")]})
+        return pa.table({"path": [key[0].as_py()], "content": [out.getvalue().encode(first["encoding"])]})
 
     return rows.groupBy("path").applyInArrow(write, "path string, content binary")
 
