@@ -69,3 +69,9 @@ def statistics(spans: DataFrame, referential: Referential) -> DataFrame:
 
 def retained_per_type(spans: DataFrame) -> DataFrame:
     return spans.groupBy("type").agg(F.count("*").alias("total"), F.count_if("retained").alias("retained"))
+
+
+def metadata_rows(fields: DataFrame) -> DataFrame:
+    """Audit rows of a document's metadata fields (label, value and any others) that aren't blank."""
+    rows = fields.where(F.length(F.trim("value")) > 0)
+    return rows.withColumns({"type": F.lit("META"), "confirmed": F.lit(True), "location": F.concat(F.lit("Métadonnées / "), F.col("label"))}).drop("label")

@@ -12,9 +12,10 @@ from spanloom.functions.spans import literal_spans
 from spanloom.model import SPANS, Referential
 from spanloom.operators import audit, detectors, layout, merge, retention
 from spanloom.plans import oracle as O
-from spanloom.plans.pipeline import Config, anonymize, detect, exploded
+from spanloom.plans.pipeline import Config, anonymize, anonymize_cells, detect, distinct_texts, exploded
 from spanloom.rules import Rule, Rules
 from spanloom.sources.delimited import delimiter_votes
+from spanloom.sources.text_files import encoding_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,11 +140,6 @@ def d15(spark, sf_dir):
     return _rows(nations.select("n_nationkey", F.expr(DERIVED["nation"]).alias("text")), "n_nationkey", found, *BASE)
 
 
-@query("d16_null_ner", f"SELECT {K}, CAST(0 AS BIGINT) AS n FROM customer")
-def d16(spark, sf_dir):
-    return derived(spark, sf_dir, "mixed").select(K, F.size(detectors.NullRecognizer().spans(F.col("text"), ["PERSON"])).cast("long").alias("n"))
-
-
 RULES = Rules((Rule("simple", "prj-####", "mask"), Rule("simple", "divers", "keep"), Rule("regex", r"client\s+\w+", "mask")))
 
 
@@ -188,7 +184,7 @@ _flag("v4_nir_key", "nir", "substr(text, 5, 15)", V.nir_valid, O.nir("value"))
 _flag("v5_postal_dept", "postal", "substr(text, 4, 5)", V.postal_code_plausible, "CAST(substr(value, 1, 2) AS INTEGER) BETWEEN 1 AND 98")
 
 
-@query("f1_normalize", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 200))), '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, replace(text, 'ß', 'ß') AS text FROM documents)")
+@query("f1_normalize", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, replace(text, 'ß', 'ß') AS text FROM documents)")
 def f1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.normalize(F.col("text")).alias("norm"))
 
@@ -282,12 +278,19 @@ def m4(spark, sf_dir):
     return anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", MIXED).masked.select("doc_id", "masked")
 
 
+@query("d16_null_ner", f"{_MIX} SELECT {K}, type, value, start, stop FROM tagged")
+def d16(spark, sf_dir):
+    """Without a model its types stay active and find nothing; the other detectors do their work."""
+    found = detect(derived(spark, sf_dir, "mixed"), Config(_ONLY.with_overrides(PERSON=True, ORG=True), recognizer=detectors.NullRecognizer()))
+    return _rows(found, K, F.col("spans"), *BASE)
+
+
 @query("m4_mixed_spans", f"{_MIX} SELECT {K}, type, value, start, stop FROM tagged")
 def m4_mixed(spark, sf_dir):
     return mixed_spans(spark, sf_dir).select(K, "type", "value", "start", F.col("end").alias("stop"))
 
 
-@query("m7_run_remap", f"""WITH d AS (SELECT doc_id, substr(text, 1, 4000) AS text FROM documents), s AS (SELECT doc_id, start, stop FROM {O.spans('d', 'doc_id', O.EMAIL, 'EMAIL')}),
+@query("m7_run_remap", f"""WITH d AS (SELECT doc_id, text FROM documents), s AS (SELECT doc_id, start, stop FROM {O.spans('d', 'doc_id', O.EMAIL, 'EMAIL')}),
 c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 40)) AS a FROM d),
 r AS (SELECT c.doc_id, a, least(a + 40, length(text)) AS b, text FROM c),
 h AS (SELECT r.doc_id, a, b, text, s.start, s.stop FROM r LEFT JOIN s ON s.doc_id = r.doc_id AND s.start < b AND s.stop > a),
@@ -336,7 +339,7 @@ def a4(spark, sf_dir):
     return audit.risk(mixed_spans(spark, sf_dir), _ONLY)
 
 
-@query("r6_stats", f"{_MIX} SELECT count(*) AS detected, count(DISTINCT type) AS categories, count(*) FILTER ({_RETAINED}) AS to_mask, count(*) FILTER (NOT ({_RETAINED})) AS to_keep, 'Élevé' AS risk FROM tagged")
+@query("r6_stats", f"{_MIX} SELECT count(*) AS detected, count(DISTINCT type) AS categories, count(*) FILTER ({_RETAINED}) AS to_mask, count(*) FILTER (NOT ({_RETAINED})) AS to_keep, CASE max(CASE WHEN {_RETAINED} THEN CASE WHEN type IN ('EMAIL', 'PHONE') THEN 3 WHEN type = 'SIREN' THEN 2 ELSE 1 END END) WHEN 3 THEN 'Élevé' WHEN 2 THEN 'Moyen' ELSE 'Faible' END AS risk FROM tagged")
 def r6(spark, sf_dir):
     return audit.statistics(retention.retain(mixed_spans(spark, sf_dir), POLICY), _ONLY)
 
@@ -365,10 +368,79 @@ def r4(spark, sf_dir):
 _CELLS = "concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment)"
 
 
-@query("p2_maskable_columns", "SELECT * FROM (VALUES (0, false), (1, true), (2, false), (3, true)) v(column_id, maskable)")
+_FIELDS_OF_CUSTOMER = ("CAST(c_custkey AS VARCHAR)", "c_name", "CAST(c_nationkey AS VARCHAR)", "c_mktsegment")
+_PROFILE = " UNION ALL ".join(rf"SELECT {i} AS column_id, bool_or(regexp_matches({c}, '\p{{L}}')) AS maskable FROM customer WHERE c_custkey > 0" for i, c in enumerate(_FIELDS_OF_CUSTOMER))
+
+
+def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first customer stands where a header would."""
+    return table(spark, sf_dir, "customer").select(F.col(K).alias("row_id"), F.array(F.col(K).cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("cells"))
+
+
+@query("p2_maskable_columns", _PROFILE)
 def p2(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(F.col(K).alias("row_id"), F.array(F.col(K).cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("cells"))
-    return retention.column_profile(rows)
+    return retention.column_profile(customer_cells(spark, sf_dir))
+
+
+@query("p3_chosen_columns", f"SELECT column_id FROM (VALUES (0), (2), (3)) v(column_id) WHERE column_id <> 2 UNION ALL SELECT column_id + 10 FROM ({_PROFILE}) WHERE maskable AND column_id <> 3")
+def p3(spark, sf_dir):
+    rows = customer_cells(spark, sf_dir)
+    named, default = retention.maskable_columns(rows, include={0, 2, 3}, exclude={2}), retention.maskable_columns(rows, exclude={3})
+    return spark.createDataFrame([(c,) for c in named] + [(c + 10,) for c in default], "column_id int")
+
+
+@query("p4_masked_cells", f"SELECT {K} AS row_id, c_nationkey AS more, {KS} || '|' || CASE WHEN {K} = 0 THEN 'c0@ex.fr' ELSE 'de [EMAIL], [EMAIL]' END || '|c' || {KS} || '@ex.fr' AS cells FROM customer")
+def p4(spark, sf_dir):
+    mail = F.concat(F.lit("c"), F.col(K).cast("string"), F.lit("@ex.fr"))
+    said = F.when(F.col(K) == 0, mail).otherwise(F.concat(F.lit("de "), mail, F.lit(", x.y@z.fr")))
+    rows = table(spark, sf_dir, "customer").select(F.col(K).alias("row_id"), F.col("c_nationkey").alias("more"), F.array(F.col(K).cast("string"), said, mail).alias("cells"))
+    return anonymize_cells(rows, MIXED, [0, 1]).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("p6_metadata_fields", f"SELECT 'META' AS type, value, 'Métadonnées / ' || label AS location FROM (SELECT CASE {K} % 3 WHEN 0 THEN 'Auteur' WHEN 1 THEN 'Titre' ELSE 'Société' END AS label, CASE {K} % 4 WHEN 0 THEN '  ' WHEN 1 THEN '' ELSE c_name END AS value FROM customer) WHERE length(trim(value)) > 0")
+def p6(spark, sf_dir):
+    label = F.element_at(F.array(F.lit("Auteur"), F.lit("Titre"), F.lit("Société")), (F.col(K) % 3 + 1).cast("int"))
+    value = F.when(F.col(K) % 4 == 0, "  ").when(F.col(K) % 4 == 1, "").otherwise(F.col("c_name"))
+    return audit.metadata_rows(table(spark, sf_dir, "customer").select(label.alias("label"), value.alias("value"))).select("type", "value", "location")
+
+
+@query("f6_active_types", "SELECT * FROM (VALUES ('ner', 'PERSON'), ('ner', 'ORG'), ('deterministic', 'EMAIL'), ('deterministic', 'PHONE'), ('deterministic', 'IBAN'), ('deterministic', 'SIREN'), ('deterministic', 'SIRET'), ('deterministic', 'NIR'), ('deterministic', 'URL'), ('contextual', 'LOGIN'), ('contextual', 'PASSWORD')) v(method, code)")
+def f6(spark, sf_dir):
+    chosen = Referential().with_overrides(URL=True, ADDRESS=False)
+    return spark.createDataFrame([(m, c) for m in ("ner", "deterministic", "contextual") for c in chosen.active_by_method(m)], "method string, code string")
+
+
+@query("s2_encoding", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cp1252' ELSE 'utf-8' END AS encoding FROM documents")
+def s2(spark, sf_dir):
+    raw = F.col("text").cast("binary")  # a lone lead byte makes the others no UTF-8
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("E9")), raw)).otherwise(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", encoding_of(content).alias("encoding"))
+
+
+_KEYED = f"""k AS (SELECT *, {K} % 2 = 0 AS sure FROM tagged)"""
+
+
+@query("r3_unit_review", f"""{_MIX}, {_KEYED}, f AS (SELECT type, value, arg_min(sure, {K} * 1000 + start) AS first_sure FROM k WHERE {K} % 10 <> 0 GROUP BY type, value)
+SELECT {K}, type, start, CASE WHEN {K} % 10 = 0 THEN sure WHEN type = 'URL' THEN false WHEN type = 'EMAIL' AND value = 'c1@ex.fr' THEN false ELSE first_sure END AS retained FROM k LEFT JOIN f USING (type, value)""")
+def r3(spark, sf_dir):
+    spans = mixed_spans(spark, sf_dir).withColumn("confirmed", F.col(K) % 2 == 0)
+    return retention.retain_units(spans, POLICY, F.col(K) % 10 == 0, [K, "start"]).select(K, "type", "start", "retained")
+
+
+@query("r4_page_review", f"""{_MIX}, {_KEYED}, f AS (SELECT type, value, arg_min(sure, {K} * 1000 + start) AS first_sure FROM k GROUP BY type, value)
+SELECT {K}, type, start, NOT ({K} % 5 = 0 AND type = 'PHONE') AND type <> 'URL' AND CASE WHEN type = 'EMAIL' AND value = 'c1@ex.fr' THEN false ELSE first_sure END AS retained FROM k JOIN f USING (type, value)""")
+def r4_pages(spark, sf_dir):
+    spans = mixed_spans(spark, sf_dir).withColumn("confirmed", F.col(K) % 2 == 0)
+    out = spans.where((F.col(K) % 5 == 0) & (F.col("type") == "PHONE")).select(K, "start")
+    return retention.retain_occurrences(spans, POLICY, [K, "start"], out, [K, "start"]).select(K, "type", "start", "retained")
+
+
+@query("r5_reviewed_texts", f"{_MIX}, keepers AS (SELECT * FROM tagged WHERE {_RETAINED}) SELECT m.{K}, m.masked, t.text FROM ({O.masked(_CUSTOMER['mixed'], K).replace('FROM kept k', 'FROM keepers k')}) m JOIN {_CUSTOMER['mixed']} t ON t.{K} = m.{K}")
+def r5(spark, sf_dir):
+    """The reviewed spans masked in a copy; the text itself stays."""
+    found = detect(derived(spark, sf_dir, "mixed"), MIXED)
+    kept = F.filter("spans", lambda x: POLICY.type_on(x["type"]) & POLICY.value_on(x["type"], x["value"], x["confirmed"]))
+    return found.select(K, "text", merge.mask(F.col("text"), kept, MIXED.referential).alias("masked"))
 
 
 @query("p7_page", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40")
@@ -434,11 +506,48 @@ def k7(spark, sf_dir):
     return layout.document_texts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
 
 
-@query("m8_span_rects", f"WITH {_WORDS} SELECT doc_id, page, string_agg(CAST(CAST(x0 AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(y0 AS INTEGER) AS VARCHAR), ',' ORDER BY place) AS rects FROM c WHERE char_end - length(text) < 40 AND 10 < char_end GROUP BY doc_id, page")
+_AT = "CAST(CAST(x0 AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(y0 AS INTEGER) AS VARCHAR)"
+
+
+def _listed(rects: Column) -> Column:
+    return F.array_join(F.transform(rects, lambda r: F.concat(r["x0"].cast("int").cast("string"), F.lit(":"), r["y0"].cast("int").cast("string"))), ",")
+
+
+@query("m8_span_rects", f"WITH {_WORDS} SELECT doc_id, page, string_agg({_AT}, ',' ORDER BY place) AS rects FROM c WHERE char_end - length(text) < 40 + 15 * page AND 10 + 15 * page < char_end GROUP BY doc_id, page")
 def m8(spark, sf_dir):
+    pages, start = layout.page_texts(placed_words(spark, sf_dir)), F.lit(10) + 15 * F.col("page")
+    return pages.select("doc_id", "page", merge.rects_of(F.col("words"), start, start + 30).alias("r")).where(F.size("r") > 0).select("doc_id", "page", _listed(F.col("r")).alias("rects"))
+
+
+_TWO = "(char_end - length(text) < 40 AND 10 < char_end)", "(char_end - length(text) < 60 AND 30 < char_end)"
+
+
+def _two_spans(page: Column) -> Column:
+    one = lambda a, b: F.struct(F.lit("EMAIL"), F.lit("v"), F.lit(a), F.lit(b), F.lit("manual"), F.lit(1.0), F.lit(True), F.lit(0))
+    return F.array(one(10, 40), one(30, 60)).cast(SPANS)
+
+
+@query("o6_distinct_rects", f"WITH {_WORDS} SELECT doc_id, page, string_agg({_AT}, ',' ORDER BY place) AS rects FROM c WHERE {_TWO[0]} OR {_TWO[1]} GROUP BY doc_id, page")
+def o6(spark, sf_dir):
     pages = layout.page_texts(placed_words(spark, sf_dir))
-    rects = pages.select("doc_id", "page", merge.rects_of(F.col("words"), F.lit(10), F.lit(40)).alias("r")).where(F.size("r") > 0)
-    return rects.select("doc_id", "page", F.array_join(F.transform("r", lambda r: F.concat(r["x0"].cast("int").cast("string"), F.lit(":"), r["y0"].cast("int").cast("string"))), ",").alias("rects"))
+    rects = pages.select("doc_id", "page", merge.rects_of_all(F.col("words"), _two_spans(F.col("page"))).alias("r")).where(F.size("r") > 0)
+    return rects.select("doc_id", "page", _listed(F.col("r")).alias("rects"))
+
+
+@query("a6_rects_by_page", f"""WITH {_WORDS}, q AS (SELECT doc_id, page, place, x0, y0 FROM c WHERE ({_TWO[0]} AND page % 2 = 0) OR {_TWO[1]}
+UNION ALL SELECT DISTINCT conv_id, 0, 1000000000, 1.0, 2.0 FROM conversations) SELECT doc_id, page, string_agg({_AT}, ',' ORDER BY place) AS rects FROM q GROUP BY doc_id, page""")
+def a6(spark, sf_dir):
+    """Rectangles to black out: the first of two spans is retained on even pages only, the first page has a drawn one."""
+    spans = layout.page_texts(placed_words(spark, sf_dir)).select("doc_id", "page", "words", F.explode(_two_spans(F.col("page"))).alias("s"))
+    rows = spans.select("doc_id", "page", F.col("s.start").alias("start"), merge.rects_of(F.col("words"), F.col("s.start"), F.col("s.end")).alias("rects"), ((F.col("page") % 2 == 0) | (F.col("s.start") == 30)).alias("retained"))
+    drawn = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.lit(0).cast("long").alias("page"), F.struct(F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(4.0).alias("y1")).alias("rect"))
+    found = retention.rects_by_page(rows, drawn, ["start"]).where(F.size("rects") > 0)
+    return found.select("doc_id", "page", _listed(F.col("rects")).alias("rects"))
+
+
+@query("s14_page_counts", "SELECT conv_id AS doc_id, count(DISTINCT turn) AS pages FROM conversations GROUP BY conv_id")
+def s14(spark, sf_dir):
+    return layout.page_counts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page")))
 
 
 @query("j3_propagate", f"""WITH {_WORDS}, n AS (SELECT doc_id, page, place, lower(strip_accents(text)) AS k, char_end - length(text) AS a, char_end AS b FROM c),
@@ -461,16 +570,17 @@ def j4(spark, sf_dir):
     return mixed_spans(spark, sf_dir).join(F.broadcast(types), "type").groupBy("sensitivity").agg(F.count("*").alias("n"))
 
 
-@query("o8_distinct_texts", "SELECT count(*) AS units, count(DISTINCT text) AS texts FROM documents")
+@query("o8_distinct_texts", "SELECT md5(text) AS text_md5, count(*) AS units FROM documents GROUP BY text")
 def o8(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("units"), F.count_distinct("text").alias("texts"))
+    return distinct_texts(table(spark, sf_dir, "documents").select("text")).select(F.md5("text").alias("text_md5"), "units")
 
 
-@query("d20_manual_span", f"SELECT {K}, CASE WHEN {K} % 2 = 0 THEN 'EMAIL' ELSE 'PERSON' END AS type FROM customer")
+@query("d20_manual_span", f"SELECT {K}, type, value, start, stop FROM {O.spans(_CUSTOMER['mixed'], K, O.EMAIL, 'EMAIL')} WHERE {K} % 2 = 0 UNION ALL SELECT {K}, 'PERSON', 'x', 0, 40 FROM customer WHERE {K} % 2 = 1 UNION ALL SELECT {K}, 'ORG', 'y', 200, 210 FROM customer")
 def d20(spark, sf_dir):
+    """Of two hand-drawn spans one meets an address, which is stronger, on every second row."""
     rows = derived(spark, sf_dir, "mixed").withColumn("spans", F.filter(detectors.deterministic(F.col("text"), "EMAIL"), lambda s: F.col(K) % 2 == 0))
-    drawn = F.array(F.struct(F.lit("PERSON"), F.lit("x"), F.lit(0), F.lit(40), F.lit("manual"), F.lit(1.0), F.lit(True), F.lit(0))).cast(SPANS)
-    return _rows(rows, K, merge.with_manual(F.col("spans"), drawn), "type")
+    one = lambda t, v, a, b: F.struct(F.lit(t), F.lit(v), F.lit(a), F.lit(b), F.lit("manual"), F.lit(1.0), F.lit(True), F.lit(0))
+    return _rows(rows, K, merge.with_manual(F.col("spans"), F.array(one("PERSON", "x", 0, 40), one("ORG", "y", 200, 210)).cast(SPANS)), *BASE)
 
 
 @query("j1_cached_detection", f"{_with(_DOCS, 'doc_id')} SELECT doc_id, count(*) AS n FROM tagged GROUP BY doc_id")
@@ -491,6 +601,22 @@ def literals(spark, sf_dir):
     return _rows(table(spark, sf_dir, "documents"), "doc_id", literal_spans(F.col("text"), "the", "ORG", "ner"), *BASE)
 
 
+#: All types whose spans need no model.
+EVERY = Config(Referential().with_overrides(BIC=True, URL=True, POSTAL_CODE=True))
+
+
+@query("m4_document_spans")
+def m4_documents(spark, sf_dir):
+    """Every detector over whole documents; their Unicode patterns are beyond the SQL engine's, so plain Python checks them."""
+    return _rows(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), EVERY), "doc_id", F.col("spans"), *BASE, "source", "confirmed")
+
+
+@query("a1_document_audit")
+def a1_documents(spark, sf_dir):
+    found = exploded(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), EVERY), ["doc_id"])
+    return audit.audit_counts(found, EVERY.referential)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the sensitive spans of documents."""
     return anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", Config()).audit

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.validators import column_label
 from spanloom.operators import merge as M
-from spanloom.operators.audit import audit_report
+from spanloom.operators.audit import audit_report, metadata_rows
 from spanloom.plans.pipeline import Config, anonymize_cells, detect, exploded, retained
 from spanloom.sources import delimited, office, text_files
 from spanloom.sources.text_files import FORMATS, format_of, write_files
@@ -54,8 +54,8 @@ def _packages(spark: SparkSession, path: str, glob: str, config: Config) -> _Mas
     masked = found.withColumn("runs", M.mask_runs(F.col("runs"), F.col("spans"), config.referential))
     packages = office.masked_packages(spark, path, masked, glob)
     rows = exploded(found, ["path", "unit_id", "location"]).withColumns({"first": F.col("unit_id"), "second": F.lit(0)}).select(*SPAN_ROWS)
-    blanked = packages.select("path", F.posexplode("purged").alias("second", "p"))
-    blanked = blanked.select("path", F.lit(2**62).alias("first"), "second", F.lit("META").alias("type"), F.col("p.original").alias("value"), F.lit(0).alias("start"), F.lit(True).alias("confirmed"), F.concat(F.lit("Métadonnées / "), F.col("p.label")).alias("location"))
+    fields = packages.select("path", F.posexplode("purged").alias("second", "p")).select("path", F.lit(2**62).alias("first"), "second", F.lit(0).alias("start"), F.col("p.label").alias("label"), F.col("p.original").alias("value"))
+    blanked = metadata_rows(fields).select(*SPAN_ROWS)
     return _Masked(packages.select("path", "content"), rows.unionByName(blanked))
 
 

@@ -39,4 +39,5 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(Q.QUERIES) == set(Q.ORACLES)
+    """But for those whose patterns SQL can't follow; test_whole_texts holds them against plain Python."""
+    assert set(Q.QUERIES) - set(Q.ORACLES) == {"m4_document_spans", "a1_document_audit"}
