@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
+from . import textvec
 from .textvec import _MULT, mix64
 
 #: What the pre-token pattern's classes are, as fixed values: letter, number, other, white space.
@@ -340,7 +341,7 @@ def encode_decode(docs, ranks_path: str):
                     back.append(hashlib.sha256(b"".join(map(decode, mine))).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(own), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textvec.freeing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs, ranks_path: str):
@@ -357,7 +358,7 @@ def encode_column(docs, ranks_path: str):
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textvec.freeing(run), "doc_id long, ids array<int>")
 
 
 def decode_column(encoded, ranks_path: str):
@@ -370,4 +371,4 @@ def decode_column(encoded, ranks_path: str):
             texts = [None if ids is None else b"".join(map(decode, ids)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(textvec.freeing(run), "doc_id long, decoded binary")

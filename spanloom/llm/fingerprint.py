@@ -122,7 +122,7 @@ def fingerprint_column(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pack_hex(*signatures(batch.column(1), bins, bits), bits), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select("doc_id").schema.add("fingerprint", "string"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(textvec.freeing(run), docs.select("doc_id").schema.add("fingerprint", "string"))
 
 
 def _bucket(splits: list[int], value: Column) -> Column:
@@ -200,4 +200,4 @@ def with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, parts: int |
                     yield rows(ids[: len(texts) - 1], texts)
                     ids, texts, size = ids[len(texts) - 1 :], texts[-1:], len(text)
 
-    return in_order(docs, parts).mapInArrow(run, schema)
+    return in_order(docs, parts).mapInArrow(textvec.freeing(run), schema)

@@ -148,4 +148,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, miss: float = M
                     names=["doc_id", "license", "containment", "first_shingle"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, containment double, first_shingle long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textvec.freeing(run), "doc_id long, license string, containment double, first_shingle long")

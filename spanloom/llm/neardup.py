@@ -157,7 +157,7 @@ def contents(docs: DataFrame, k: int = COORDINATES) -> DataFrame:
                 signed.clear()
 
     rows = docs.select(content_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key binary, doc_id long, weight double, signature array<int>").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.max("signature").alias("signature")).where("weight > 0")
+    return rows.mapInArrow(textvec.freeing(run), "key binary, doc_id long, weight double, signature array<int>").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.max("signature").alias("signature")).where("weight > 0")
 
 
 def bands(rows: DataFrame, per_band: int = ROWS_PER_BAND, k: int = COORDINATES) -> DataFrame:
@@ -185,7 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(textvec.freeing(run), "a binary, b binary")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def _sketches(texts: DataFrame, size: int = SKETCH, bits: int = SKETCH_BITS) ->
                 packed = np.bitwise_or.reduce(low.reshape(len(low), len(names), each) << shifts, axis=2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(packed[:, j]) for j in range(len(names)))], names=["key", *names])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, " + ", ".join(f"{n} long" for n in names))
+    return texts.select("key", "text").mapInArrow(textvec.freeing(run), "key binary, " + ", ".join(f"{n} long" for n in names))
 
 
 def _may_be_alike(threshold: float, k: int = SKETCH, bits: int = SKETCH_BITS) -> Column:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, textvec
 from .bpe import ColumnEncoder
 
 WINDOW = 2048
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textvec.freeing(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def pack(rows: DataFrame, window: int = WINDOW, shards: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -191,7 +191,7 @@ def pack(rows: DataFrame, window: int = WINDOW, shards: int | None = None, block
         yield from flush()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    return rows.repartition(n).mapInArrow(place, schema)
+    return rows.repartition(n).mapInArrow(textvec.freeing(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, shards: int | None = None, block: int = BLOCK) -> DataFrame:

@@ -79,7 +79,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     [pa.array(grams[anchor].view(np.int64)), batch.column(0).take(pa.array(row + text)), pa.array((anchor - first[text]).astype(np.int32))], names=["h", "doc", "at"]
                 )
 
-    return docs.mapInArrow(run, "h long, doc long, at int")
+    return docs.mapInArrow(textvec.freeing(run), "h long, doc long, at int")
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
                     names=["a", "b", "c", "doc", "at"],
                 )
 
-    return docs.select("doc", "text", "ats").mapInArrow(run, "a int, b int, c long, doc long, at int")
+    return docs.select("doc", "text", "ats").mapInArrow(textvec.freeing(run), "a int, b int, c long, doc long, at int")
 
 
 def _joined(first: pa.RecordBatch | None, second: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +129,7 @@ def deep_leaves(suffixes: DataFrame, parts: int) -> DataFrame:
         if held is not None and company:
             yield pa.RecordBatch.from_arrays([held.column(3), held.column(4)], names=["doc", "at"])
 
-    return suffixes.repartition(parts, "g").sortWithinPartitions("a", "b", "c").select("a", "b", "c", "doc", "at").mapInArrow(run, "doc long, at int")
+    return suffixes.repartition(parts, "g").sortWithinPartitions("a", "b", "c").select("a", "b", "c", "doc", "at").mapInArrow(textvec.freeing(run), "doc long, at int")
 
 
 def tree_rows(docs: DataFrame, with_prev: bool = False) -> DataFrame:
@@ -161,7 +161,7 @@ def tree_rows(docs: DataFrame, with_prev: bool = False) -> DataFrame:
                         columns.append(pa.array(np.where(place[part] > 0, hashes[np.maximum(begin[part] - 1, 0)], np.uint64(0)).view(np.int64)))
                     yield pa.RecordBatch.from_arrays(columns, names=["b", "c", "tail", "doc", "at", "prev"][: len(columns)])
 
-    return docs.select("doc", "text", "ats").mapInArrow(run, "b int, c long, tail binary, doc long, at int" + ", prev long" * with_prev)
+    return docs.select("doc", "text", "ats").mapInArrow(textvec.freeing(run), "b int, c long, tail binary, doc long, at int" + ", prev long" * with_prev)
 
 
 class SuffixTree:
@@ -239,7 +239,7 @@ def tree_marks(rows: DataFrame, parts: int) -> DataFrame:
             keep = pa.array(words > 0)
             yield pa.RecordBatch.from_arrays([leaves.column(3).filter(keep), leaves.column(4).filter(keep), pa.array(words[words > 0].astype(np.int32))], names=["doc", "at", "words"])
 
-    return _sorted_subtrees(rows, parts).mapInArrow(run, "doc long, at int, words int")
+    return _sorted_subtrees(rows, parts).mapInArrow(textvec.freeing(run), "doc long, at int, words int")
 
 
 def tree_nodes(rows: DataFrame, parts: int) -> DataFrame:
@@ -262,7 +262,7 @@ def tree_nodes(rows: DataFrame, parts: int) -> DataFrame:
                     [leaves.column(3).take(first), leaves.column(4).take(first), pa.array(np.full(len(first), depth, np.int32)), pa.array(count[free])], names=["doc", "at", "words", "occurrences"]
                 )
 
-    return _sorted_subtrees(rows, parts).mapInArrow(run, "doc long, at int, words int, occurrences long")
+    return _sorted_subtrees(rows, parts).mapInArrow(textvec.freeing(run), "doc long, at int, words int, occurrences long")
 
 
 def _ranges(marks: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _ranges(marks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["doc", "begins", "ends"])
 
     both = F.col("at").cast("long") * (DEPTH + 1) + F.col("words")
-    return marks.groupBy("doc").agg(F.collect_list(both)).mapInArrow(run, "doc long, begins array<long>, ends array<long>")
+    return marks.groupBy("doc").agg(F.collect_list(both)).mapInArrow(textvec.freeing(run), "doc long, begins array<long>, ends array<long>")
 
 
 def _bounded(rows: DataFrame, size: int) -> DataFrame:
@@ -365,7 +365,6 @@ def cut_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     copies, ranges = repeated_ranges(pairs)
     size = ranges.agg(F.coalesce(F.sum(F.size("begins")), F.lit(0))).first()[0]
     own = numbered.join(_bounded(copies.withColumn("copy", F.lit(True)), copies.count()), "doc", "left").join(_bounded(ranges, size), "doc", "left")
-    own = own.select("row", "text", "copy", "begins", "ends")
 
     def keep_mask(n: int, copy: bool | None, begins: list[int] | None, ends: list[int] | None) -> np.ndarray:
         keep = np.ones(n, bool)
@@ -377,34 +376,36 @@ def cut_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, kept = [], [], []
-            for text, *marks in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                words = text.encode().split()
-                keep = keep_mask(len(words), *marks)
-                n.append(len(words))
-                removed.append(int(len(words) - keep.sum()))
-                kept.append(hashlib.sha256(b" ".join(words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k])).hexdigest())
-            ids = batch.column(0).field("doc_id").cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = list(zip(*(batch.column(k).to_pylist() for k in range(2, 5)), strict=True))
-            out = []
-            for i, (text, (copy, begins, ends)) in enumerate(zip(batch.column(0).field("text").to_pylist(), marks, strict=True)):
-                if text is not None and (copy or begins):
-                    raw = text.encode()
-                    data = np.frombuffer(raw, np.uint8)
-                    starts, stops, _ = textvec.word_spans(data, np.array([0, len(data)]))
-                    keep = keep_mask(len(starts), copy, begins, ends)
-                    if not keep.all():
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
-                        text = b"\n".join(raw[starts[a] : stops[b - 1]] for a, b in edge.reshape(-1, 2)).decode()
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "new_text"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n, removed, kept = [], [], []
+                for text, *marks in zip(*(part.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                    words = text.encode().split()
+                    keep = keep_mask(len(words), *marks)
+                    n.append(len(words))
+                    removed.append(int(len(words) - keep.sum()))
+                    kept.append(hashlib.sha256(b" ".join(words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k])).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     if digest:
-        return own.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    new = own.mapInArrow(texts, own.select("row").schema.add("new_text", "string"))
-    return new.select(*[F.col("new_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
-
+        return own.select("doc_id", "text", "copy", "begins", "ends").mapInArrow(textvec.freeing(digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, copies: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for text, *marks in zip(*(x.to_pylist() for x in (texts, copies, begins, ends)), strict=True):
+            if text is not None:
+                raw = text.encode()
+                data = np.frombuffer(raw, np.uint8)
+                starts, stops, _ = textvec.word_spans(data, np.array([0, len(data)]))
+                keep = keep_mask(len(starts), *marks)
+                if not keep.all():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+                    text = b"\n".join(raw[starts[a] : stops[b - 1]] for a, b in edge.reshape(-1, 2)).decode()
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    marked = F.coalesce("copy", F.lit(False)) | F.col("begins").isNotNull()  # only their texts go to Python
+    new = own.select("row", "text", "copy", "begins", "ends", marked.alias("marked")).withColumn("cut", cut(F.when(F.col("marked"), F.col("row.text").cast("string")), "copy", "begins", "ends"))
+    text = F.when(F.col("marked"), F.col("cut")).otherwise(F.col("row.text").cast("string")).alias("text")
+    return new.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

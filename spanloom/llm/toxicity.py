@@ -14,8 +14,8 @@ doc_id and labels are never inputs of a score. Samples are drawn by a hash and b
 
 A doc_id labelled both 0 and 1 counts as not labelled; the same label twice counts once. Null texts count as empty; empty texts get the
 score of the intercept. Without labelled rows of both kinds, or without a voter left, every score is the share of toxic rows among the
-labelled ones (0 if none). Repeated rows get equal scores. An empty table gives an empty result. An input column named like the score is
-replaced; all others are carried in a struct, so none clashes.
+labelled ones (0 if none). Repeated rows get equal scores. An empty table gives an empty result. An input column named like the score,
+held_out or predicted is replaced; all others stay, and none clashes.
 """
 
 from __future__ import annotations
@@ -85,8 +85,9 @@ def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     """(first row, rows, text, hash, hash of each stem) of each lower-cased word without punctuation. Stems are hashed apart from words."""
     import pyarrow.compute as pc
 
-    column = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
-    for at, rows, data, offsets in textvec.slices(column):
+    for at, rows, *_ in textvec.slices(column):  # lower-cased slice by slice: a batch may hold much text
+        lower = pc.utf8_lower(column.slice(at, rows).cast(pa.large_string()).fill_null(""))
+        _, _, data, offsets = next(textvec.slices(lower, most_bytes=1 << 62))
         starts, ends, first = textvec.word_spans(data, offsets, textvec.PUNCTUATION)
         word, *stems = textvec.prefix_hashes(data, starts, ends, STEMS)
         yield at, rows, np.repeat(np.arange(rows), np.diff(first)), word, [textvec.mix64(x + np.uint64(n)) for n, x in zip(STEMS, stems, strict=True)]
@@ -337,7 +338,7 @@ def telling(rows: DataFrame, kind: Callable[..., tuple[np.ndarray, np.ndarray]],
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(y[at + who[first]]), pa.array(np.zeros(len(first), np.int64))], names=["h", "y", "words"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(y[at : at + n]), pa.array(np.bincount(own, minlength=n))], names=["h", "y", "words"])
 
-    seen = storage.table(rows.mapInArrow(by_text, "h long, y double, words long").groupBy("h").agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.sum("words").alias("words"), F.sum(F.col("y") * F.col("words")).alias("bad_words")))
+    seen = storage.table(rows.mapInArrow(textvec.freeing(by_text), "h long, y double, words long").groupBy("h").agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.sum("words").alias("words"), F.sum(F.col("y") * F.col("words")).alias("bad_words")))
     texts = seen.where("h = 0").first()
     if texts is None or not texts["words"] or not 0 < texts["bad_words"] < texts["words"]:
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
@@ -361,7 +362,7 @@ def telling(rows: DataFrame, kind: Callable[..., tuple[np.ndarray, np.ndarray]],
                 first = _distinct(who[hit], h[hit], around)
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit][first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(y[at + who[hit][first]])], names=["h", "around", "y"])
 
-    tosses = rows.mapInArrow(by_neighbours, "h long, around long, y double").groupBy("h", "around").agg(F.avg("y").alias("y")).groupBy("h").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    tosses = rows.mapInArrow(textvec.freeing(by_neighbours), "h long, around long, y double").groupBy("h", "around").agg(F.avg("y").alias("y")).groupBy("h").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
     kept = tosses.where(surprise_column(F.col("bad"), F.col("n"), mean) >= surprise).toArrow()
     h, n, bad = (kept.column(k).to_numpy() for k in ("h", "n", "bad"))
     order = np.argsort(h.view(np.uint64))
@@ -392,7 +393,7 @@ def voters_heard(labelled: DataFrame, mined: Mined) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(voting.codes(batch.column(1)))], names=["y", "code"])
 
-    counted = labelled.select("y", "text").mapInArrow(run, "y double, code long").groupBy("y", "code").count().collect()
+    counted = labelled.select("y", "text").mapInArrow(textvec.freeing(run), "y double, code long").groupBy("y", "code").count().collect()
     toxic, code, n = (np.array([r[k] for r in counted]).astype(np.int64) for k in ("y", "code", "count"))
     odds = lambda y1, y0: (y1 + 0.5) / (y0 + 0.5)
     base = odds(n[toxic == 1].sum(), n[toxic == 0].sum())
@@ -413,7 +414,7 @@ def vote_counts(docs: DataFrame, mined: Mined) -> tuple[np.ndarray, np.ndarray]:
             code, count = np.unique(voting.codes(batch.column(0)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], names=["code", "n"])
 
-    rows = _texts(docs).where(~held_out()).select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = _texts(docs).where(~held_out()).select("text").mapInArrow(textvec.freeing(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return np.array([r["code"] for r in rows], np.int64), np.array([r["n"] for r in rows], float)
 
 
@@ -430,7 +431,7 @@ def sampled_texts(docs: DataFrame, mined: Mined, codes: np.ndarray, p: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(p[k][keep]), pa.array(1 / share[k][keep]), batch.column(1).filter(pa.array(keep))], names=["y", "weight", "text"])
 
     rows = _texts(docs).where(~held_out()).select(_chance("text").alias("u"), "text").where(F.col("u") < float(share.max()))
-    taken = rows.mapInArrow(run, "y double, weight double, text string")
+    taken = rows.mapInArrow(textvec.freeing(run), "y double, weight double, text string")
     return taken.groupBy(F.md5(F.col("text").cast("binary"))).agg(*(F.first(c).alias(c) for c in ("y", "weight", "text"))).select("y", "weight", "text")
 
 
@@ -473,7 +474,7 @@ def regressed(sample: DataFrame) -> Model | None:
                 per = np.split(column, np.searchsorted(row, np.arange(1, n)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(per, pa.list_(pa.int64()))], names=["y", "weight", "has"])
 
-    has = sample.select("y", "weight", "text").mapInArrow(run, "y double, weight double, has array<long>").groupBy("y", "weight", "has").count().toArrow()  # texts with the same words are one row
+    has = sample.select("y", "weight", "text").mapInArrow(textvec.freeing(run), "y double, weight double, has array<long>").groupBy("y", "weight", "has").count().toArrow()  # texts with the same words are one row
     if not len(has):
         return None
     lists = has.column("has").combine_chunks()
@@ -483,15 +484,14 @@ def regressed(sample: DataFrame) -> Model | None:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a score column between 0 and 1; rows are scored where they lie."""
-    keep = [c for c in docs.columns if c != name]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
+    """docs with a score column between 0 and 1; rows are scored where they lie, and only their texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1)), pa.float64())], names=["row", name])
+    @F.arrow_udf("double")
+    def of_text(column: pa.Array) -> pa.Array:
+        return pa.array(model.score(column), pa.float64())
 
-    return rows.mapInArrow(run, rows.select("row").schema.add(name, "double")).select("row.*", name)
+    own = [c for c in docs.columns if c.lower() != name.lower()]
+    return docs.select(*(F.col(f"`{c}`") for c in own), of_text(F.col("text").cast("string")).alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_texts: int = MAX_TEXTS) -> DataFrame:
