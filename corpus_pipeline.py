@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = storage.table(stage(spark, docs, sf_dir))
+        before, docs = docs, storage.table(stage(spark, docs, sf_dir))
+        storage.drop(before)
     return docs
